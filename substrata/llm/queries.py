@@ -1,6 +1,12 @@
 """The queries of this subpackage, and DuckDB's SQL where it can express them."""
 
-from substrata.llm import sharding
+from substrata.llm import mixing, sharding
 
-QUERIES = {"op10_tree_sharding": sharding.op10_tree_sharding}
-ORACLES = {"op10_tree_sharding": sharding.oracle(sharding.Topology.even(16))}
+QUERIES = {
+    "op6_bernoulli_mixing": mixing.op6_bernoulli_mixing,
+    "op10_tree_sharding": sharding.op10_tree_sharding,
+}
+ORACLES = {
+    "op6_bernoulli_mixing": mixing.oracle(),
+    "op10_tree_sharding": sharding.oracle(sharding.Topology.even(16)),
+}
