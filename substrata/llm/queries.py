@@ -1,8 +1,9 @@
 """The queries of this subpackage, and DuckDB's SQL where it can express them."""
 
-from substrata.llm import mixing, sharding
+from substrata.llm import fingerprints, mixing, sharding
 
 QUERIES = {
+    "op4_scaled_sketch": fingerprints.op4_scaled_sketch,
     "op6_bernoulli_mixing": mixing.op6_bernoulli_mixing,
     "op10_tree_sharding": sharding.op10_tree_sharding,
 }
