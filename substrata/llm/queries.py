@@ -1,13 +1,15 @@
 """The queries of this subpackage, and DuckDB's SQL where it can express them."""
 
-from substrata.llm import fingerprints, mixing, sharding
+from substrata.llm import fingerprints, line_dedup, mixing, sharding
 
 QUERIES = {
     "op4_scaled_sketch": fingerprints.op4_scaled_sketch,
     "op6_bernoulli_mixing": mixing.op6_bernoulli_mixing,
+    "op7_window_line_dedup": line_dedup.op7_window_line_dedup,
     "op10_tree_sharding": sharding.op10_tree_sharding,
 }
 ORACLES = {
     "op6_bernoulli_mixing": mixing.oracle(),
+    "op7_window_line_dedup": line_dedup.ORACLE,
     "op10_tree_sharding": sharding.oracle(sharding.Topology.even(16)),
 }
