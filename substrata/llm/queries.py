@@ -1,15 +1,19 @@
 """The queries of this subpackage, and DuckDB's SQL where it can express them."""
 
-from substrata.llm import fingerprints, line_dedup, mixing, sharding
+from substrata.llm import decontam, fingerprints, line_dedup, mixing, sharding, warc
 
 QUERIES = {
     "op4_scaled_sketch": fingerprints.op4_scaled_sketch,
+    "op5_suffix_automaton": decontam.op5_suffix_automaton,
     "op6_bernoulli_mixing": mixing.op6_bernoulli_mixing,
     "op7_window_line_dedup": line_dedup.op7_window_line_dedup,
+    "op8_chunked_warc": warc.op8_chunked_warc,
     "op10_tree_sharding": sharding.op10_tree_sharding,
 }
 ORACLES = {
+    "op5_suffix_automaton": decontam.ORACLE,
     "op6_bernoulli_mixing": mixing.oracle(),
     "op7_window_line_dedup": line_dedup.ORACLE,
+    "op8_chunked_warc": warc.ORACLE,
     "op10_tree_sharding": sharding.oracle(sharding.Topology.even(16)),
 }
