@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB's SQL where it can express them."""
 
-from substrata.llm import decontam, fingerprints, html_extract, line_dedup, mixing, quality, sharding, warc
+from substrata.llm import decontam, fingerprints, html_extract, line_dedup, mixing, ngram_join, quality, sharding, warc
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_bernoulli_mixing": mixing.op6_bernoulli_mixing,
     "op7_window_line_dedup": line_dedup.op7_window_line_dedup,
     "op8_chunked_warc": warc.op8_chunked_warc,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_tree_sharding": sharding.op10_tree_sharding,
 }
 ORACLES = {
