@@ -81,28 +81,44 @@ def locate(df: DataFrame, topology: Topology, id_col: str = "doc_id", prefix: st
     return df.withColumn(shard, _choose(F.col(region), {r: _choose(F.col(rack), {k: _winner(f"tree/{r}/{k}", leaves, key) for k, leaves in racks.items()}) for r, racks in tree.items()}))
 
 
-def shard_documents(df: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Return id, size (UTF-8 bytes of the text plus 1), text_crc32, region, rack, shard, slot and grown_shard of every row.
+def _slotted(rows: DataFrame, slot_buckets: int) -> DataFrame:
+    """Add slot to rows that have doc_id, size, text_crc32 and shard.
 
     The slot numbers a shard's rows from 0 without gaps. Rows are numbered
     within hash buckets of a shard and each bucket starts where the one before
     ends, so no task holds a whole shard; the table of bucket sizes has at
     most shards x slot_buckets rows, whatever the input, and is broadcast.
+    """
+    bucket = F.pmod(F.conv(F.substring(F.md5(id_text("doc_id")), 1, 8), 16, 10).cast("long"), F.lit(slot_buckets))
+    rows = rows.withColumn("__bucket", bucket)
+    starts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    starts = starts.withColumn("__start", F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("__n"))
+    order = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "size", "text_crc32")
+    rows = rows.withColumn("__place", F.row_number().over(order))
+    rows = rows.join(F.broadcast(starts.select("shard", "__bucket", "__start")), ["shard", "__bucket"])
+    return rows.withColumn("slot", F.col("__start") + F.col("__place") - 1).drop("__bucket", "__place", "__start")
+
+
+def _sized(id_col: str, text_col: str) -> list[Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+
+
+def shard_documents(df: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
+    """Return id, size (UTF-8 bytes of the text plus 1), text_crc32, region, rack, shard, slot and grown_shard of every row.
 
     Null text: no bytes, CRC of the empty text. Null ids: all share one place.
     Repeated ids: one shard, slots of their own. Empty table: no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = locate(locate(rows, topology), topology.grown(), prefix="grown_").drop("grown_region", "grown_rack")
-    bucket = F.pmod(F.conv(F.substring(F.md5(id_text("doc_id")), 1, 8), 16, 10).cast("long"), F.lit(slot_buckets))
-    rows = rows.withColumn("bucket", bucket)
-    starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    starts = starts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n"))
-    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    rows = rows.join(F.broadcast(starts.select("shard", "bucket", "start")), ["shard", "bucket"])
-    return rows.select("doc_id", "size", "text_crc32", "region", "rack", "shard", (F.col("start") + F.col("place") - 1).alias("slot"), "grown_shard")
+    rows = locate(locate(df.select(*_sized(id_col, text_col)), topology), topology.grown(), prefix="grown_").drop("grown_region", "grown_rack")
+    return _slotted(rows, slot_buckets).select("doc_id", "size", "text_crc32", "region", "rack", "shard", "slot", "grown_shard")
+
+
+def placed(df: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
+    """The rows with all their columns and region, rack, shard and slot; columns of these names are replaced."""
+    added = ("region", "rack", "shard", "slot")
+    rows = locate(df.select(*_sized(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")), topology)
+    return _slotted(rows, slot_buckets).select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns if c not in added], *added)
 
 
 def write_shards(df: DataFrame, topology: Topology, path: str, *, id_col: str = "doc_id", salts: int = 16) -> None:
