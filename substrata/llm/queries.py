@@ -1,10 +1,11 @@
 """The queries of this subpackage, and DuckDB's SQL where it can express them."""
 
-from substrata.llm import decontam, fingerprints, html_extract, line_dedup, mixing, ngram_join, quality, sharding, warc
+from substrata.llm import decontam, fingerprints, html_extract, line_dedup, lm_score, mixing, ngram_join, quality, sharding, warc
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
     "op2_host_paths": html_extract.op2_host_paths,
+    "op3_masked_window_lm": lm_score.op3_masked_window_lm,
     "op4_scaled_sketch": fingerprints.op4_scaled_sketch,
     "op5_suffix_automaton": decontam.op5_suffix_automaton,
     "op6_bernoulli_mixing": mixing.op6_bernoulli_mixing,
