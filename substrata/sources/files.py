@@ -62,7 +62,7 @@ def selectivities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.options(header="true", quote='"', escape='"', emptyValue="", nullValue="").mode("error").csv(path)
+    df.write.options(header="true", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").mode("error").csv(path)
 
 
 def write_counts_long(counts: DataFrame, path: str) -> None:
