@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from substrata.llm.common import cut, table
+from substrata.llm.common import cut, remove, table, work_path
 
 GROUPS, MEMBERS = 32, 32
 RARE = 64
@@ -39,6 +39,8 @@ _CLASSES = GROUPS * MEMBERS
 _PAD = _CLASSES
 #: A task remembers the classes of so many rare words at a time.
 REMEMBERED = 400_000
+#: Words that a task counts at a time.
+HELD_WORDS = 300_000
 
 
 def split(text: str | None) -> list[bytes]:
@@ -64,30 +66,25 @@ class Vocabulary:
     #: by class, over the whole corpus
     counts: np.ndarray
 
-    def coded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of all words, with padding around each text, and the number of words of each text."""
-        pad = [_PAD] * SIDE
-        out, sizes = list(pad), []
-        for text in texts:
-            run = list(map(self.codes.__getitem__, split(text)))
-            sizes.append(len(run))
-            out += run
-            out += pad
-        return np.array(out, np.int16), np.array(sizes, np.int64)
-
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts. Batches are counted before they leave a task."""
+    """(word, n) over all texts. A task counts HELD_WORDS distinct words at a time before it hands them on."""
+
+    def rows(counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+        words = list(counts)
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in some], pa.string()), pa.array([counts[w] for w in some], pa.int64())], ["word", "n"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
         for batch in batches:
-            counts: Counter[bytes] = Counter()
             for text in batch.column(0):
                 counts.update(split(text.as_py()))
-            words = list(counts)
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in some], pa.string()), pa.array([counts[w] for w in some], pa.int64())], ["word", "n"])
+                if len(counts) > HELD_WORDS:
+                    yield from rows(counts)
+                    counts = Counter()
+        yield from rows(counts)
 
     return docs.select(F.col(text_col)).mapInArrow(part, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -201,42 +198,55 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return out / np.maximum(out @ _ONES[logits.shape[1]], np.float32(1e-30))[:, None]
 
 
-def _portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def coded(docs: DataFrame, words: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, codes BINARY): the classes of each text's words, two bytes each. Null texts have none."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value.codes.__getitem__
+        for batch in batches:
+            made = [np.fromiter(map(code, split(text.as_py())), np.int16).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "codes"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(part, f"doc_id {dict(rows.dtypes)['doc_id']}, codes binary")
+
+
+def _portions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: classes with padding around each text, places of the words, (number of words, words before) of each text."""
+    texts = [np.frombuffer(x.as_py(), np.int16) for x in column]
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size < 6 * PORTION_WORDS):
-            size += len(texts[to] or "")
+        while to < len(texts) and (to == at or size < PORTION_WORDS):
+            size += len(texts[to])
             to += 1
-        yield at, to
+        sizes = np.array([len(x) for x in texts[at:to]], np.int64)
+        places = np.arange(size) + np.repeat(SIDE * np.arange(1, len(sizes) + 1), sizes)
+        codes = np.full(size + SIDE * (len(sizes) + 1), _PAD, np.int16)
+        codes[places] = np.concatenate(texts[at:to])
+        yield codes, places, np.stack([sizes, np.cumsum(sizes) - sizes], 1)
         at = to
 
 
-def _places(sizes: np.ndarray) -> np.ndarray:
-    """Where the words of each text are in the padded codes."""
-    starts = SIDE + np.concatenate([[0], np.cumsum(sizes[:-1] + SIDE)]) if len(sizes) else np.zeros(0, np.int64)
-    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes[:-1])]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
-
-
-def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", passes: tuple[int, ...] = PASSES) -> Network:
-    """Pass over all documents as often as `passes` says and average the tasks' networks after each pass.
+def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES) -> Network:
+    """Pass over all coded texts as often as `passes` says and average the tasks' networks after each pass.
 
     What comes back is one network, whatever the number of tasks: theirs are
     summed parameter by parameter in Spark.
     """
-    context = docs.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
     network = Network.start(words.counts)
     for step, every in enumerate(passes):
-        shared = context.broadcast((words, network.flat))
+        shared = context.broadcast(network.flat)
 
         def part(batches: Iterator[pa.RecordBatch], shared=shared, step=step, every=every) -> Iterator[pa.RecordBatch]:
-            vocabulary, flat = shared.value
-            own, memory, seen = Network(flat.copy()), np.full(_SIZE, 1e-4 * (step + 1), np.float32), 0
+            own, memory, seen = Network(shared.value.copy()), np.full(_SIZE, 1e-4 * (step + 1), np.float32), 0
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
 
             def learn() -> None:
-                """On a batch of places from the portions that wait."""
+                """On the places of the portions that wait, in batches."""
                 base, codes, places = 0, [], []
                 for c, p in waiting:
                     codes.append(c)
@@ -248,16 +258,13 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", passes: tu
                     own.train(all_codes, at[k : k + BATCH], memory)
 
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in _portions(texts):
-                    codes, sizes = vocabulary.coded(texts[a:b])
-                    places = _places(sizes)
-                    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    places = places[(np.arange(len(places)) - first + 5 * step) % every == every // 2] if len(places) else places
-                    if len(places):
-                        waiting.append((codes, places))
-                        held += len(places)
-                        seen += len(places)
+                for codes, places, sizes in _portions(batch.column(0)):
+                    number = np.arange(len(places)) - np.repeat(sizes[:, 1], sizes[:, 0])
+                    chosen = places[(number + 5 * step) % every == every // 2]
+                    if len(chosen):
+                        waiting.append((codes, chosen))
+                        held += len(chosen)
+                        seen += len(chosen)
                     if held >= 8 * BATCH:
                         learn()
                         waiting, held = [], 0
@@ -268,7 +275,7 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", passes: tu
                     piece = own.flat[at : at + 8192].astype(float) * seen
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(piece), dtype=np.int32)), pa.array(piece), pa.array(np.full(len(piece), seen, np.int64))], ["at", "value", "seen"])
 
-        sums = docs.select(F.col(text_col)).mapInArrow(part, "at int, value double, seen bigint").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+        sums = texts.select("codes").mapInArrow(part, "at int, value double, seen bigint").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
         found = sums.toArrow()
         if found.num_rows:
             flat = network.flat.astype(float)
@@ -278,36 +285,44 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", passes: tu
     return network
 
 
-def score_documents(docs: DataFrame, words: Vocabulary, network: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc_id, n_words, log_likelihood, mean_log_likelihood) for every row.
-
-    Null, empty and blank texts have no words, a sum of 0 and a null mean.
-    Equal texts score alike. Empty table: no rows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((words, network.flat))
+def scores(texts: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood) of coded texts."""
+    shared = texts.sparkSession.sparkContext.broadcast((words.within, network.flat))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
+        within, flat = shared.value
         model = Network(flat)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, total = [], []
-            for a, b in _portions(texts):
-                codes, sizes = vocabulary.coded(texts[a:b])
-                places = _places(sizes)
+            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for codes, places, sizes in _portions(batch.column("codes")):
                 logs = np.concatenate([np.zeros(0), *(model.log_probabilities(codes, places[k : k + STEP_WORDS]) for k in range(0, len(places), STEP_WORDS))])
-                logs += vocabulary.within[codes[places]]
-                n.append(sizes)
-                total.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes)))
-            n, total = np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros(0), *total])
+                logs += within[codes[places]]
+                n.append(sizes[:, 0])
+                total.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes[:, 0]), logs, len(sizes)))
+            n, total = np.concatenate(n), np.concatenate(total)
             mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(part, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    return texts.mapInArrow(part, f"doc_id {dict(texts.dtypes)['doc_id']}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+
+
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passes: tuple[int, ...] = PASSES) -> DataFrame:
+    """Train on the documents and score them: (doc_id, n_words, log_likelihood, mean_log_likelihood) for every row, computed now.
+
+    Texts are split and coded once and kept coded in the shared folder while
+    the passes and the scoring read them. Null, empty and blank texts have no
+    words, a sum of 0 and a null mean. Equal texts score alike. Empty table:
+    no rows.
+    """
+    spark = docs.sparkSession
+    words = vocabulary(docs, text_col)
+    path = work_path(spark, "coded")
+    coded(docs, words, id_col=id_col, text_col=text_col).write.parquet(path)
+    texts = spark.read.parquet(path)
+    out = cut(scores(texts, words, train(texts, words, passes)))
+    remove(spark, path)
+    return out
 
 
 def op3_masked_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = vocabulary(docs)
-    return score_documents(docs, words, train(docs, words))
+    return score_documents(table(spark, sf_dir, "documents"))
