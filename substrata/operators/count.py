@@ -39,7 +39,10 @@ def _by_kernel(name: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
 
     def strategy(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
         names = sorted(r["q"] for r in queries.collect())
-        shared = strings.sparkSession.sparkContext.broadcast(names)
+        spark = strings.sparkSession
+        shared = spark.sparkContext.broadcast(names)
+        # a kernel's work is queries x characters, of which the size of its input says little: keep every core busy
+        strings = strings.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, total = shared.value, np.zeros((len(shared.value), delta + 1), np.int64)

@@ -58,11 +58,13 @@ def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, de
         return out
     coded = encode([queries[k] for k in short])
     alphabet = np.unique(np.concatenate(coded))
-    table = np.zeros((len(alphabet) + 1, len(short)), np.uint64)  # the last row: characters of no query
-    for lane, q in enumerate(coded):
-        np.bitwise_or.at(table[:, lane], np.searchsorted(alphabet, q), np.uint64(1) << np.arange(len(q), dtype=np.uint64))
     length = np.array([len(q) for q in coded])
-    high = np.uint64(1) << (length - 1).astype(np.uint64)
+    lane_type = next(t for t in (np.uint16, np.uint32, np.uint64) if length.max() <= t(0).nbytes * 8)  # short queries take short lanes
+    one = lane_type(1)
+    table = np.zeros((len(alphabet) + 1, len(short)), lane_type)  # the last row: characters of no query
+    for lane, q in enumerate(coded):
+        np.bitwise_or.at(table[:, lane], np.searchsorted(alphabet, q), one << np.arange(len(q), dtype=lane_type))
+    high = one << (length - 1).astype(lane_type)
     codes = encode(strings)
     for members in _blocks(codes, LANES // len(short)):
         sizes = np.array([len(codes[k]) for k in members])
@@ -73,10 +75,10 @@ def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, de
                 at = np.searchsorted(alphabet, codes[k])
                 at[at == len(alphabet)] = 0
                 grid[: sizes[m], m] = np.where(alphabet[at] == codes[k], at, len(alphabet))
-        score = np.broadcast_to(length.astype(np.int16), (len(members), len(short))).copy()
+        score = np.broadcast_to(length.astype(np.int8), (len(members), len(short))).copy()
         best = score.copy()
-        plus = np.full(score.shape, ~np.uint64(0))
-        minus = np.zeros(score.shape, np.uint64)
+        plus = np.full(score.shape, ~lane_type(0))
+        minus = np.zeros(score.shape, lane_type)
         alive = np.searchsorted(-sizes, -np.arange(steps), side="left")  # strings longer than t are the first ones
         for t in range(steps):
             n = alive[t]
@@ -87,9 +89,9 @@ def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, de
             xh = (((eq & plus) + plus) ^ plus) | eq
             ph = minus | ~(xh | plus)
             mh = plus & xh
-            score = score + ((ph & high) != 0).astype(np.int16) - ((mh & high) != 0).astype(np.int16)
-            ph <<= np.uint64(1)
-            mh <<= np.uint64(1)
+            score = score + ((ph & high) != 0).view(np.int8) - ((mh & high) != 0).view(np.int8)
+            ph <<= one
+            mh <<= one
             plus = mh | ~(xv | ph)
             minus = ph & xv
             np.minimum(best[:n], score, out=best[:n])
