@@ -99,7 +99,7 @@ def test_mixing_comes_near_its_targets(spark):
     df = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', 1 + int(id % 7)) AS text", "concat('s', CASE WHEN id % 3 = 0 THEN 0 ELSE id % 20 END) AS source")
     out = mixing.with_copies(df).groupBy("source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("taken"), F.first("__target").alias("target")).collect()
     for r in out:
-        assert r.taken == pytest.approx(r.target, rel=0.15)
+        assert abs(r.taken - r.target) <= 8  # half of a bin, which holds a few documents of up to 7 words
 
 
 # --- line dedup
