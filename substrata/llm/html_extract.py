@@ -40,6 +40,7 @@ EXCLUDED_NAMES = frozenset(
 )
 PROSE_NAMES = frozenset("article content post entry story main body text page maintext bodytext articlebody".split())
 NEVER_EXCLUDED = frozenset(("html", "body", "article", "main"))
+NEGATORS = frozenset(("has", "no", "with", "without", "not", "hide", "show"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
@@ -51,6 +52,24 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def beside(name: str, parts: list[str]) -> bool:
+    """Whether a name stands for something other than the article.
+
+    Any part tells, unless a part also names prose: then the first and the
+    last do (comment-body and page-header, but not post-with-comments), save
+    for an article's own header.
+    """
+    if not NEGATORS.isdisjoint(parts):
+        return False
+    if name in EXCLUDED_NAMES:
+        return True
+    if PROSE_NAMES.isdisjoint(parts):
+        return not EXCLUDED_NAMES.isdisjoint(parts)
+    if parts[-1] == "header" and parts[0] in ("article", "post", "entry", "story"):
+        return False
+    return parts[0] in EXCLUDED_NAMES or parts[-1] in EXCLUDED_NAMES
+
+
 class Page:
     """Containers and text blocks of a page, in page order."""
 
@@ -114,33 +133,34 @@ class Page:
                 in_link = 0
                 continue
             _, outer, excluded = stack[-1]
-            names, generalised = self._names(token["attributes"] or "")
+            prose, aside, generalised = self._names(token["attributes"] or "")
             if not excluded and tag not in NEVER_EXCLUDED:
                 inside = any(x[0] in ("article", "main") for x in stack)
-                excluded = tag in EXCLUDED_TAGS and not (tag == "header" and inside) or bool(names & EXCLUDED_NAMES) and not (names & PROSE_NAMES and not names & {"comment", "comments", "ad", "ads", "footer", "sidebar", "menu", "nav"})
+                excluded = aside or tag in EXCLUDED_TAGS and not (tag == "header" and inside)
             self.parent.append(outer)
             self.path.append(f"{self.path[outer]}/{tag}{generalised}")
             self.depth.append(self.depth[outer] + 1)
-            self.weight.append(1.0 if tag == "article" else 0.95 if tag == "main" else 0.4 if tag == "html" else 0.5 if tag == "body" else 0.9 if names & PROSE_NAMES else 0.6)
+            self.weight.append(1.0 if tag == "article" else 0.95 if tag == "main" else 0.4 if tag == "html" else 0.5 if tag == "body" else 0.9 if prose else 0.6)
             stack.append((tag, len(self.parent) - 1, excluded))
         end_block()
 
     @staticmethod
-    def _names(attributes: str) -> tuple[set[str], str]:
-        """Lower-case parts of class, id and role, and the classes with digits generalised, in order of name."""
-        names: set[str] = set()
+    def _names(attributes: str) -> tuple[bool, bool, str]:
+        """Whether class, id or role name prose, whether they name something beside it, and the classes with digits generalised."""
+        prose = aside = False
         classes: list[str] = []
         for what, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
             if what.lower() == "role":
-                names |= {"nav"} if value.strip().lower() in EXCLUDED_ROLES else set()
+                aside |= value.strip().lower() in EXCLUDED_ROLES
                 continue
             for name in value.split():
-                names.add(name.lower())
-                names |= {x.lower() for x in _PARTS.findall(name)}
+                parts = [x.lower() for x in _PARTS.findall(name)]
+                prose |= not PROSE_NAMES.isdisjoint(parts)
+                aside |= beside(name.lower(), parts)
                 if what.lower() == "class":
                     classes.append(_DIGITS.sub("#", name.lower()))
-        return names, "".join("." + c for c in sorted(set(classes)))
+        return prose, aside, "".join("." + c for c in sorted(set(classes)))
 
     def scores(self) -> tuple[list[float], list[float]]:
         """Of each container: score and share of the page's prose. Text inside links is no prose."""
