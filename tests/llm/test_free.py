@@ -136,6 +136,15 @@ def test_extraction_of_articles():
     assert [html_extract.Page(h).text() for h, _ in plain] == [t for _, t in plain]
 
 
+@pytest.mark.parametrize("name,aside", [("comment-body", True), ("page-header", True), ("entry-header", False), ("post-content", False), ("content-with-sidebar", False), ("mainNav", True), ("article_comments", True), ("cookie-notice", True), ("ad", True), ("add-on", False), ("text-ad", True), ("no-ads", False), ("shadow", False), ("site-footer-inner", True), ("adBox2", True), ("c12", False)])
+def test_names_beside_the_article(name, aside):
+    prose, found, _ = html_extract.Page._names(f' id=x class="{name}"')
+    assert found == aside
+    if not prose:
+        page = html_extract.Page(f'<div><p>here</p><div class="{name}"><p>inner text</p></div></div>')
+        assert page.text() == ("here" if aside else "here\ninner text")
+
+
 def test_extraction_follows_the_host(spark):
     body = lambda k: f'<html><body><div class="top-{k}">{"menu " * 3}</div><div class="c{k}"><p>{prose(k, 60)}</p><p>{prose(k + 50, 40)}</p></div><div class="foo">tail text {k}</div></body></html>'
     odd = '<html><body><div class="c5"><p>short note</p></div><div class="foo">' + "tail " * 80 + "</div></body></html>"
