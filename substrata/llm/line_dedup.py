@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from substrata.llm.common import table
+from substrata.llm.common import cut, table
 
 WINDOW_LINES = 3
 
@@ -30,13 +30,14 @@ def removals(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
     Only hashes, ids and positions are shuffled. A window that a third of all
     documents have is one row in the table of repeated windows, counted before
-    the shuffle; the join back to its occurrences splits such a key by itself.
+    the shuffle; that table is computed first, so that Spark can split the
+    occurrences of such a window in the join back to them.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _solid("text").alias("lines"))
     spots = docs.select("doc_id", "text_hash", F.explode(window_hashes(F.col("lines"), width)).alias("w")).select("w.a", "w.b", "doc_id", "text_hash", "w.p")
     known = F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("p"))
-    repeated = spots.groupBy("a", "b").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    repeated = cut(spots.groupBy("a", "b").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"))
     later = spots.join(repeated, ["a", "b"]).where(~known.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("p").alias("starts")).select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + width - 1)))).alias("gone"))
 
