@@ -161,17 +161,21 @@ def running(counts: DataFrame) -> DataFrame:
     return counts.withColumn("card", F.sum("n").over(Window.partitionBy("q").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def work(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
-    """One row: distance-table lines and cells of a nested loop, lines left by sharing prefixes, and pairs that each filter leaves."""
+def work(queries: DataFrame, strings: DataFrame) -> DataFrame:
+    """One row: distance-table lines and cells of a nested loop, and those left if queries share the lines of their prefixes."""
     q, s = distinct_queries(queries), collapsed(strings)
-    sizes = q.agg(F.count("*").alias("n_qry"), F.sum(F.length("q")).cast("long").alias("q_len"))
+    sizes = q.agg(F.count("*").alias("n_qry"), F.coalesce(F.sum(F.length("q")), F.lit(0)).cast("long").alias("q_len"))
     prefix = distinct_queries(queries, prefix_aug=True).agg(F.count("*").alias("n_prfx"))
-    rows = s.agg(F.sum("w").alias("n_rec"), F.sum(F.length("s") * F.col("w")).alias("s_len"))
-    filters = [(name, make(q, s, delta).agg(F.coalesce(F.sum("w"), F.lit(0)).alias(name))) for name, make in (("partition_pairs", partition_candidates), ("qgram_pairs", gram_candidates))]
-    out = sizes.crossJoin(prefix).crossJoin(rows)
-    for _, f in filters:
-        out = out.crossJoin(f)
-    return out.select(
-        "n_qry", "n_prfx", "n_rec", (F.col("q_len") * F.col("n_rec")).alias("total_line"), (F.col("n_prfx") * F.col("n_rec")).alias("shared_line"),
-        (F.col("q_len") * F.col("s_len")).alias("total_cell"), (F.col("n_prfx") * F.col("s_len")).alias("shared_cell"), (F.col("n_qry") * F.col("n_rec")).alias("all_pairs"), *[name for name, _ in filters],
+    rows = s.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n_rec"), F.coalesce(F.sum(F.length("s") * F.col("w")), F.lit(0)).alias("s_len"))
+    n = F.col("n_rec")
+    return sizes.crossJoin(prefix).crossJoin(rows).select(
+        "n_qry", "n_prfx", "n_rec", (F.col("q_len") * n).alias("total_line"), (F.col("n_prfx") * n).alias("shared_line"),
+        (F.col("q_len") * F.col("s_len")).alias("total_cell"), (F.col("n_prfx") * F.col("s_len")).alias("shared_cell"), (F.col("n_qry") * n).alias("all_pairs"),
     )
+
+
+def filtered_pairs(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
+    """(filter, pairs, distinct_pairs): what each filter leaves to verify, in rows and in distinct strings."""
+    q, s = distinct_queries(queries), collapsed(strings)
+    made = [make(q, s, delta).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("pairs"), F.count("*").alias("distinct_pairs")).select(F.lit(name).alias("filter"), "pairs", "distinct_pairs") for name, make in (("partition", partition_candidates), ("qgram", gram_candidates))]
+    return made[0].unionByName(made[1])

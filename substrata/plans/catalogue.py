@@ -164,9 +164,17 @@ def pigeonhole_candidates(spark: SparkSession, d: str) -> DataFrame:
     return count.partition_candidates(_queries(spark, d), count.collapsed(_names(spark, d)), DELTA)
 
 
-@query()
+@query("""WITH q AS (SELECT DISTINCT p_name AS q FROM part), p AS (SELECT DISTINCT substr(q, 1, k::INTEGER) AS p FROM (SELECT q, unnest(range(1, length(q) + 1)) AS k FROM q)),
+    a AS (SELECT count(*) AS n_qry, sum(length(q))::BIGINT AS q_len FROM q), b AS (SELECT count(*) AS n_prfx FROM p), c AS (SELECT count(*) AS n_rec, sum(length(p_name))::BIGINT AS s_len FROM part)
+    SELECT n_qry, n_prfx, n_rec, q_len * n_rec AS total_line, n_prfx * n_rec AS shared_line, q_len * s_len AS total_cell, n_prfx * s_len AS shared_cell, n_qry * n_rec AS all_pairs FROM a, b, c""")
 def work_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return count.work(_queries(spark, d), _names(spark, d), DELTA)
+    return count.work(_queries(spark, d), _names(spark, d))
+
+
+@query()
+def filter_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a query and a row that each filter leaves to verify."""
+    return count.filtered_pairs(_queries(spark, d), _names(spark, d), DELTA)
 
 
 @query(f"WITH {_PART} SELECT q, d::INTEGER AS d, n FROM h")

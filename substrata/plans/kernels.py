@@ -13,6 +13,8 @@ import numpy as np
 WORD = 64
 #: Lanes (string x query) that a block of the bit-parallel kernel works on at once.
 LANES = 1 << 16
+#: Characters, with padding, that a block has at most, unless it is a single string.
+CELLS = 1 << 20
 
 
 def sed(q: str, s: str) -> int:
@@ -31,11 +33,14 @@ def encode(strings: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in strings]
 
 
-def _blocks(codes: list[np.ndarray], lanes: int) -> Iterator[list[int]]:
-    """Numbers of strings, longest first, so many at a time: strings of a block are of like length."""
+def _blocks(codes: list[np.ndarray], most: int, cells: int = CELLS) -> Iterator[list[int]]:
+    """Numbers of strings, longest first, at most so many at a time and fewer if they are long: strings of a block are of like length."""
     order = sorted(range(len(codes)), key=lambda k: -len(codes[k]))
-    for at in range(0, len(order), max(1, lanes)):
-        yield order[at : at + max(1, lanes)]
+    at = 0
+    while at < len(order):
+        n = max(1, min(most, cells // max(len(codes[order[at]]), 1)))
+        yield order[at : at + n]
+        at += n
 
 
 def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, delta: int) -> np.ndarray:
@@ -69,7 +74,7 @@ def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, de
     for members in _blocks(codes, LANES // len(short)):
         sizes = np.array([len(codes[k]) for k in members])
         steps = int(sizes[0])
-        grid = np.full((steps, len(members)), len(alphabet), np.int64)
+        grid = np.full((steps, len(members)), len(alphabet), np.int32)
         for m, k in enumerate(members):
             if sizes[m]:
                 at = np.searchsorted(alphabet, codes[k])
