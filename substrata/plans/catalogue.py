@@ -587,9 +587,9 @@ def clip_filter(spark: SparkSession, d: str) -> DataFrame:
     return runs.clipped(_t(spark, d, "events").select("event_id", "value"), "value", 2, 20)
 
 
-@query("SELECT m, s::VARCHAR AS s, '--m ' || m || ' --s ' || s AS key FROM (SELECT unnest(['teddy', 'soddy']) AS m), (SELECT unnest([0, 1, 2]) AS s)")
+@query("SELECT m, s::VARCHAR AS s, '--m ' || m || ' --s ' || s AS key FROM (SELECT unnest(['trie', 'block']) AS m), (SELECT unnest([0, 1, 2]) AS s)")
 def cartesian_params(spark: SparkSession, d: str) -> DataFrame:
-    out = runs.expanded(spark, {"m": ["teddy", "soddy"], "s": [0, 1, 2]})
+    out = runs.expanded(spark, {"m": ["trie", "block"], "s": [0, 1, 2]})
     return out.withColumn("key", runs.command_line(["m", "s"]))
 
 

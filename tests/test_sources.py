@@ -27,7 +27,7 @@ def test_counts_survive_csv(spark, tmp_path):
     files.write_counts_wide(table, f"{tmp_path}/wide")
     assert [(r.word, r.cards) for r in files.counts_wide(spark, f"{tmp_path}/wide", 1).collect()] == [("x", [1, 2])]
     assert [r.line for r in files.as_line(df.where("word = 'a,b'")).collect()] == ['"a,b",0,3']
-    assert files.save_name("qs", "teddy", 2, True) == "res/qs_teddy_02_prefix.txt"
+    assert files.save_name("qs", "trie", 2, True) == "res/qs_trie_02_prefix.txt"
 
 
 def test_experiments(spark, tmp_path):
@@ -40,7 +40,7 @@ def test_experiments(spark, tmp_path):
 
 
 def test_logs_and_queries_on_columns(spark):
-    lines = spark.createDataFrame([("2022-01-01 10:00:00 teddy 5 100 5 3 True 1.5",), ("2022-01-01 10:00:00 teddy 5 100 5 3 False -1",), ("noise",)], "value string")
+    lines = spark.createDataFrame([("2022-01-01 10:00:00 trie 5 100 5 3 True 1.5",), ("2022-01-01 10:00:00 trie 5 100 5 3 False -1",), ("noise",)], "value string")
     assert [(r.p, r.time, r.d) for r in runs.timings(lines).collect()] == [(True, 1.5, 3), (False, None, 3)]
     work = spark.createDataFrame([("2022-01-01 10:00:00 9 8 7 6 5 4",)], "value string")
     assert runs.work_lines(work).first().pruned_cell == 4
