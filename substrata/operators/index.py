@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from substrata.functions import stats as S
@@ -15,19 +15,32 @@ def postings(rows: DataFrame, tokens, id_col: str = "rid") -> DataFrame:
     return spread.groupBy("token").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(id_col)).alias("rids"))
 
 
-def wildcard_ngrams(rows: DataFrame, n: int, id_col: str = "rid", string_col: str = "s") -> DataFrame:
-    """(id, token), distinct: every substring of length 1..n under every mask of wildcards.
+def _tokens(n: int, string_col: str) -> Column:
+    """ARRAY: every substring of length 1..n under every mask of wildcards, distinct.
 
-    A string has up to 2^1 + ... + 2^n tokens at each position; substrings are
-    made distinct before they are masked.
+    A string has up to 2^1 + ... + 2^n of them at each position; substrings
+    are made distinct before they are masked.
     """
-    pieces = rows.select(F.col(id_col), F.explode(F.array_distinct(T.substrings(string_col, 1, n))).alias("piece"))
-    return pieces.select(id_col, F.explode(T.masks("piece")).alias("token")).distinct()
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(T.substrings(string_col, 1, n)), T.masks)))
+
+
+def wildcard_ngrams(rows: DataFrame, n: int, id_col: str = "rid", string_col: str = "s") -> DataFrame:
+    """(id, token), distinct for rows of distinct ids."""
+    return rows.select(id_col, F.explode(_tokens(n, string_col)).alias("token"))
+
+
+def extended_table(rows: DataFrame, n: int, least: int = 1, string_col: str = "s") -> DataFrame:
+    """(token, cnt): in how many rows each wildcard n-gram occurs, if in at least `least`. Equal strings are masked once."""
+    weighed = rows.groupBy(F.col(string_col).alias("s")).agg(F.count("*").alias("w"))
+    return weighed.select("w", F.explode(_tokens(n, "s")).alias("token")).groupBy("token").agg(F.sum("w").alias("cnt")).where(F.col("cnt") >= least)
 
 
-def extended_table(rows: DataFrame, n: int, least: int = 1, id_col: str = "rid", string_col: str = "s") -> DataFrame:
-    """(token, cnt): in how many rows each wildcard n-gram occurs, if in at least `least`."""
-    return wildcard_ngrams(rows, n, id_col, string_col).groupBy("token").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
+def extended_signatures(rows: DataFrame, n: int, coefficients: list[tuple[int, int]], least: int = 1, id_col: str = "rid", string_col: str = "s") -> DataFrame:
+    """The same with signatures: (token, cnt, sig). The smallest hashes are first taken over the rows of each distinct string."""
+    names = [f"h{k}" for k in range(len(coefficients))]
+    strings = rows.groupBy(F.col(string_col).alias("s")).agg(F.count("*").alias("w"), *[F.min(S.linear_hash(id_col, a, b)).alias(h) for h, (a, b) in zip(names, coefficients, strict=True)])
+    spread = strings.select("w", *names, F.explode(_tokens(n, "s")).alias("token"))
+    return spread.groupBy("token").agg(F.sum("w").alias("cnt"), *[F.min(h).alias(h) for h in names]).where(F.col("cnt") >= least).select("token", "cnt", F.array(*names).alias("sig"))
 
 
 def ranks(ids: DataFrame, coefficients: list[tuple[int, int]], id_col: str = "rid") -> DataFrame:

@@ -88,8 +88,7 @@ def patterns(queries: DataFrame) -> DataFrame:
 
 def build(rows: DataFrame, n: int = NGRAM, least: int = LEAST, hashes: int = HASHES, seed: int = 0, id_col: str = "rid", string_col: str = "s") -> DataFrame:
     """(token, cnt, sig): wildcard n-grams in `least` rows or more, and the empty token with the number of all rows."""
-    tokens = index.wildcard_ngrams(rows, n, id_col, string_col).withColumnRenamed(id_col, "rid")
-    table = index.signatures(tokens, S.hash_coefficients(hashes, seed), least)
+    table = index.extended_signatures(rows, n, S.hash_coefficients(hashes, seed), least, id_col, string_col)
     empty = rows.agg(F.count("*").alias("cnt")).select(F.lit("").alias("token"), "cnt", F.array_repeat(F.lit(0).cast("long"), hashes).alias("sig"))
     return table.unionByName(empty)
 
