@@ -19,5 +19,6 @@ ORACLES = {
     "op6_bernoulli_mixing": mixing.oracle(),
     "op7_window_line_dedup": line_dedup.ORACLE,
     "op8_chunked_warc": warc.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
     "op10_tree_sharding": sharding.oracle(sharding.Topology.even(16)),
 }
