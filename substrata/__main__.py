@@ -1,4 +1,4 @@
-"""python -m substrata count STRINGS QUERIES --delta 2 --alg block --prefix --out DIR | report STORE --table join"""
+"""python -m substrata count STRINGS --queries Q --out DIR --store S | estimate COUNTS --strings N --out DIR --store S | report S"""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from substrata.operators import count, job
-from substrata.sources import experiments, reports
+from substrata.operators import count, job, metrics, models
+from substrata.sources import experiments, files, reports
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +26,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--out", required=True)
     c.add_argument("--store", required=True)
     c.add_argument("--seconds", type=float)
+    e = commands.add_parser("estimate", help="fit estimators to a long count table and judge them on held-out queries")
+    e.add_argument("counts")
+    e.add_argument("--strings", type=int, required=True, help="how many strings were counted")
+    e.add_argument("--model", nargs="+", default=["boosted"], choices=list(models.ESTIMATORS))
+    e.add_argument("--p-test", type=float, default=0.1)
+    e.add_argument("--p-valid", type=float, default=0.1)
+    e.add_argument("--seed", default="0")
+    e.add_argument("--out", required=True)
+    e.add_argument("--store", required=True)
     r = commands.add_parser("report", help="the last record of each run")
     r.add_argument("store")
     r.add_argument("--table")
@@ -40,6 +50,16 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
             raise SystemExit("a threshold is 0 or more")
         grid = job.Grid({"trial": list(range(a.trials)), "strings": a.strings, "queries": a.queries, "prefix": [a.prefix], "delta": a.delta, "alg": a.alg, "share": sorted(a.share, key=float)})
         job.run(spark, grid.jobs(), a.store, a.out, a.seconds)
+    elif a.command == "estimate":
+        if not 0 < a.p_test + a.p_valid < 1:
+            raise SystemExit("the test and validation shares are above 0 and leave something to train on")
+        truth = files.counts_long(spark, a.counts).withColumnRenamed("word", "q")
+        for name in a.model:
+            found = models.evaluate(name, truth, a.strings, p_test=a.p_test, p_valid=a.p_valid, seed=a.seed).persist()
+            found.write.mode("overwrite").parquet(f"{a.out}/{name}/estimates")
+            metrics.crosstab(found.withColumn("len", F.length("q"))).write.mode("overwrite").parquet(f"{a.out}/{name}/crosstab")
+            levels = {f"{r.level:g}": r.value for r in metrics.quantiles(found).collect()}
+            experiments.put(spark, a.store, "est", f"--model {name} --counts {a.counts} --seed {a.seed}", {"err": metrics.summary(found).first().mean, "levels": levels})
     else:
         print(reports.to_html(experiments.scan(spark, a.store, a.table, a.keys).orderBy("tbl", "exp_key"), a.table or "all"))
 

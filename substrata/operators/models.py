@@ -9,6 +9,7 @@ let an estimate fall with the threshold.
 from __future__ import annotations
 
 import abc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from substrata.functions import text as T
+from substrata.operators import metrics, sampling
 from substrata.plans.autodiff import Node, Parameters, joined
 
 MOST_ROWS = 200_000
@@ -250,3 +252,28 @@ class Embedded(Neural):
 
 
 ESTIMATORS: dict[str, type[Estimator]] = {"boosted": Boosted, "sequence": Sequence, "monotone": Monotone, "embedded": Embedded}
+
+
+def evaluate(name: str, truth: DataFrame, n: int, *, p_test: float = 0.1, p_valid: float = 0.1, seed: str = "0") -> DataFrame:
+    """Fit to the training split of the queries in (q, delta, card) and estimate the test split: (q, delta, card, estimate, q_err, q_err_eps, log10_err, msle)."""
+    if name not in ESTIMATORS:
+        raise ValueError(f"no estimator {name!r}; there are {', '.join(ESTIMATORS)}")
+    split = sampling.three_way(truth.select("q").distinct(), p_test=p_test, p_valid=p_valid, seed=seed)
+    rows = truth.select("q", "delta", "card").join(split, "q").persist()
+    part = lambda s: rows.where(F.col("split") == s).select("q", "delta", "card")
+    model = ESTIMATORS[name](n).fit(part("train"), part("valid"))
+    test = part("test")
+    return metrics.with_errors(test.join(model.transform(test.select("q", "delta")), ["q", "delta"]))
+
+
+def latency(model: Estimator, rows: DataFrame, k: int = 100) -> float:
+    """Mean seconds an estimate takes, of k rows scored one at a time in this process."""
+    few = rows.select("q", "delta").limit(k).toPandas()
+    if not isinstance(model, Neural) or not len(few):
+        began = time.perf_counter()
+        model.transform(rows.limit(k)).count()
+        return (time.perf_counter() - began) / max(len(few), 1)
+    began = time.perf_counter()
+    for q, d in zip(few.q, few.delta, strict=True):
+        model.estimates([q], np.array([d]))
+    return (time.perf_counter() - began) / len(few)

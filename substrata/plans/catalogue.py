@@ -618,14 +618,8 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 def _judged(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         """Fitted to the training split of all prefixes, judged on the test split."""
-        truth = _truth(spark, d).cache()
-        split = sampling.three_way(truth.select("q").distinct())
-        rows = truth.join(split, "q")
-        n = _names(spark, d).count()
-        model = models.ESTIMATORS[name](n).fit(rows.where("split = 'train'").select("q", "delta", "card"), rows.where("split = 'valid'").select("q", "delta", "card"))
-        test = rows.where("split = 'test'")
-        found = model.transform(test.select("q", "delta"))
-        return metrics.with_errors(test.join(found, ["q", "delta"])).groupBy("delta").agg(F.count("*").alias("n"), F.avg("q_err").alias("q_err"), F.avg("q_err_eps").alias("q_err_eps"))
+        found = models.evaluate(name, _truth(spark, d), _names(spark, d).count())
+        return found.groupBy("delta").agg(F.count("*").alias("n"), F.avg("q_err").alias("q_err"), F.avg("q_err_eps").alias("q_err_eps"))
 
     return run
 

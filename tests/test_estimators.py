@@ -100,3 +100,20 @@ def test_estimators_beat_a_constant(spark, data, name):
     assert models.q_errors(both.card, both.estimate).mean() < models.q_errors(both.card, np.full(len(both), constant)).mean()
     ordered = both.sort_values(["q", "delta"]).groupby("q").estimate
     assert ordered.apply(lambda e: (np.diff(e) >= -1e-9).all()).all()
+
+
+def test_estimate_command(spark, data, tmp_path):
+    from substrata.__main__ import main
+    from substrata.sources import experiments, files
+
+    names = spark.read.parquet(f"{data}/part.parquet").selectExpr("p_name AS s")
+    files.write_counts_long(count.approx_substring_count(count.distinct_queries(names, "s", prefix_aug=True), names, 1), f"{tmp_path}/c")
+    main(["estimate", f"{tmp_path}/c", "--strings", "200", "--model", "sequence", "--out", f"{tmp_path}/o", "--store", f"{tmp_path}/s"], spark)
+    assert "0.99" in experiments.scan(spark, f"{tmp_path}/s", "est").first().value
+    assert spark.read.parquet(f"{tmp_path}/o/sequence/crosstab").where("delta IS NULL AND len IS NULL").count() == 1
+    model = models.Sequence(200)
+    model.alphabet = {"a": 2}
+    rows = spark.createDataFrame([("a", 0), ("b", 1)], "q string, delta int")
+    assert models.latency(model, rows) > 0
+    with pytest.raises(ValueError, match="no estimator"):
+        models.evaluate("magic", rows, 1)
