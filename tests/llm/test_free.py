@@ -374,3 +374,32 @@ def test_pipeline(spark, data, tmp_path):
     for s in docs.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("most"), F.countDistinct("slot").alias("d")).collect():
         assert s.n == s.d == s.most + 1
     assert corpus_pipeline.run(spark, data).count() == docs.count() and SCHEMA
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_odd_cases(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs, rows = odd_documents(spark, extra=True)
+    if empty:
+        docs, rows = docs.limit(0), []
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [] if empty else [(0, 1, 0), (2, 1, 0), (7, 0, 0), (6, None, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bench = [] if empty else [(1, prose(2, 60)), (2, None), (3, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        sizes.append(docs.count())
+    assert {"region", "rack", "shard", "slot"} <= set(docs.columns) and sizes[4] == sizes[3]
+    if empty:
+        assert sizes == [0] * 5
+    else:
+        assert 0 < sizes[0] <= len(rows) and sizes[1] < sizes[0]
+        assert docs.where("doc_id IN (2, 9)").count() == 0  # all of it is in the benchmark
