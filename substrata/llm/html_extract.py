@@ -27,7 +27,7 @@ LEAST_COVERAGE = 0.2
 VOTE_COVERAGE = 0.3
 
 # Elements and name parts by their role on a page.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noframes", "select")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noframes", "select", "object", "audio", "video", "canvas")
 CONTAINERS = frozenset("html body div article main section aside nav header footer form ul ol dl table tbody thead tr td th fieldset dialog figure details center menu".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr address figcaption caption tfoot legend summary hgroup option head".split())
 EXCLUDED_TAGS = frozenset("nav aside footer form header dialog menu button select label fieldset head".split())
@@ -39,8 +39,10 @@ EXCLUDED_NAMES = frozenset(
     "share sharing social comment comments commentlist disqus reply replies respond responses discussion related recommended recommendations widget widgets form forms search toolbar skip".split()
 )
 PROSE_NAMES = frozenset("article content post entry story main body text page maintext bodytext articlebody".split())
-NEVER_EXCLUDED = frozenset(("html", "body", "article", "main"))
-NEGATORS = frozenset(("has", "no", "with", "without", "not", "hide", "show"))
+NEVER_EXCLUDED = frozenset(("html", "body", "main"))
+NEGATORS = frozenset(("has", "no", "with", "without", "not", "hide", "show", "category", "tag", "type", "status", "format"))
+SMALL_ARTICLES = frozenset("comment comments reply ad ads advert advertisement sponsored promo related recommended".split())
+ITEMS = frozenset("li dd dt blockquote pre figcaption".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
@@ -82,17 +84,18 @@ class Page:
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, excluded
         buffer: list[str] = []
         linked = in_link = 0
+        skipped = False  # the block that is open stands beside the article
         blocks = self.blocks
 
         def end_block() -> None:
-            nonlocal linked
+            nonlocal linked, skipped
             if buffer:
-                if not stack[-1][2]:
+                if not (skipped or stack[-1][2]):
                     text = " ".join(html.unescape("".join(buffer)).split())
                     if text:
                         blocks.append((stack[-1][1], text, linked))
                 buffer.clear()
-            linked = 0
+            linked, skipped = 0, False
 
         for token in _TOKEN.finditer(source):
             kind = token.lastgroup
@@ -123,8 +126,15 @@ class Page:
                     buffer.append(" ")
                 continue
             end_block()
-            if tag not in CONTAINERS:
+            if tag in ITEMS and not closing and stack[-1][0] == tag:
+                stack.pop()
+            if tag not in CONTAINERS and not (closing and stack[-1][0] == tag):
                 in_link = 0
+                if not closing and token["attributes"] and self._names(token["attributes"])[1]:
+                    if tag in ITEMS:
+                        stack.append((tag, stack[-1][1], True))
+                    else:
+                        skipped = True
                 continue
             if closing:
                 if any(x[0] == tag for x in stack):
@@ -134,7 +144,9 @@ class Page:
                 continue
             _, outer, excluded = stack[-1]
             prose, aside, generalised = self._names(token["attributes"] or "")
-            if not excluded and tag not in NEVER_EXCLUDED:
+            if not excluded and tag == "article":
+                excluded = not SMALL_ARTICLES.isdisjoint(re.findall(r"(?:^|[\s\"'=])([a-z]+)", (token["attributes"] or "").lower())) and aside
+            elif not excluded and tag not in NEVER_EXCLUDED:
                 inside = any(x[0] in ("article", "main") for x in stack)
                 excluded = aside or tag in EXCLUDED_TAGS and not (tag == "header" and inside)
             self.parent.append(outer)
