@@ -132,6 +132,8 @@ def test_extraction_of_articles():
         <!-- <p>no</p> --><blockquote>quote</blockquote><div class="comments"><p>reader says a lot of things here and there</p></div><div class="ad">buy</div></div><aside>side</aside></div><footer>foot</footer><script>if(a<b)"</p>"</script><p clas"""
     )
     assert page.text() == "Title\nOne link two <b> é&amp;\npoint\nother\nquote"
+    listed = html_extract.Page('<article class="post category-social"><h1>T</h1><p class="advert">buy<p>text one<ul><li class="share">x<p>y</p><li>item</ul><article class="comment odd">says</article><blockquote class="ad">no</blockquote><p>end</article><article class="comment">more words here than in all of the article</article>')
+    assert listed.text() == "T\ntext one\nitem\nend"
     plain = [("", ""), ("a < b & c", "a < b & c"), ("<p>a<p>b<b>c</b>d", "a\nbcd"), ("<div><div><p>" * 50 + "deep", "deep"), ("</div></p>x", "x"), ("<script>never ends", "")]
     assert [html_extract.Page(h).text() for h, _ in plain] == [t for _, t in plain]
 
