@@ -34,10 +34,22 @@ def distinct_queries(queries: DataFrame, column: str = "q", prefix_aug: bool = F
     return out.select(F.explode(T.prefixes("q")).alias("q")).distinct() if prefix_aug else out
 
 
+def block_of(queries: DataFrame) -> bool:
+    """Whether the queries have MOST_QUERY_CHARS characters at most, and so fit a block that every task gets."""
+    return (queries.agg(F.sum(F.length("q") + 1)).first()[0] or 0) <= MOST_QUERY_CHARS
+
+
+def _sent(queries: DataFrame) -> DataFrame:
+    """The queries, marked for broadcast if they fit a block."""
+    return F.broadcast(queries) if block_of(queries) else queries
+
+
 def _by_kernel(name: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
     kernel = kernels.KERNELS[name]
 
     def strategy(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
+        if not block_of(queries):
+            raise ValueError(f"more than {MOST_QUERY_CHARS} characters of queries; use the strategy 'partition', or blocks of queries")
         names = sorted(r["q"] for r in queries.collect())
         spark = strings.sparkSession
         shared = spark.sparkContext.broadcast(names)
@@ -64,7 +76,7 @@ def _counted(pairs: DataFrame, delta: int, banded: bool = False) -> DataFrame:
 
 
 def _nested(banded: bool) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
-    return lambda queries, strings, delta: _counted(F.broadcast(queries).crossJoin(strings), delta, banded)
+    return lambda queries, strings, delta: _counted(_sent(queries).crossJoin(strings), delta, banded)
 
 
 def pigeonhole(queries: DataFrame, delta: int) -> DataFrame:
@@ -79,7 +91,7 @@ def partition_candidates(queries: DataFrame, strings: DataFrame, delta: int) ->
     pieces = F.array_distinct(F.flatten(F.array(*[T.qgrams("s", n) for n in sorted(sizes)]))) if sizes else F.array().cast("array<string>")
     held = strings.select("s", "w", F.explode(pieces).alias("part"))
     found = held.join(cut, "part").select("q", "s", "w").distinct()
-    return found.unionByName(F.broadcast(queries.where(F.length("q") <= delta)).crossJoin(strings).select("q", "s", "w"))
+    return found.unionByName(_sent(queries.where(F.length("q") <= delta)).crossJoin(strings).select("q", "s", "w"))
 
 
 def gram_candidates(queries: DataFrame, strings: DataFrame, delta: int, gram: int = GRAM) -> DataFrame:
@@ -93,7 +105,7 @@ def gram_candidates(queries: DataFrame, strings: DataFrame, delta: int, gram: in
     best = costs.groupBy("q").agg(F.min(F.struct("cost", "start"))["start"].alias("start"))
     chosen = runs.join(best, ["q", "start"]).select("q", "gram").distinct()
     found = index.join(chosen, "gram").select("q", "s", "w").distinct()
-    return found.unionByName(F.broadcast(queries.where(F.length("q") < need)).crossJoin(strings).select("q", "s", "w"))
+    return found.unionByName(_sent(queries.where(F.length("q") < need)).crossJoin(strings).select("q", "s", "w"))
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
@@ -110,8 +122,7 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
 def histogram(queries: DataFrame, strings: DataFrame, delta: int, strategy: str = "auto") -> DataFrame:
     """(q, d, n) from distinct (q) and weighted (s, w). auto: "block" if the queries fit a block, else "partition"."""
     if strategy == "auto":
-        size = queries.agg(F.sum(F.length("q"))).first()[0] or 0
-        strategy = "block" if size <= MOST_QUERY_CHARS else "partition"
+        strategy = "block" if block_of(queries) else "partition"
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(['auto', *STRATEGIES])}")
     return STRATEGIES[strategy](queries, strings, delta)

@@ -19,10 +19,11 @@ def summary(rows: DataFrame, column: str = "q_err") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"))
 
 
-def quantiles(rows: DataFrame, column: str = "q_err", levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """(level, value): exact, with linear interpolation."""
-    found = rows.agg(F.percentile(column, F.array(*[F.lit(x) for x in levels])).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("level"), F.col("v").alias("value"))).alias("e")).select(F.col("e.level").alias("level"), F.col("e.value").alias("value"))
+def quantiles(rows: DataFrame, column: str = "q_err", levels: tuple[float, ...] = LEVELS, accuracy: int | None = None) -> DataFrame:
+    """(level, value): exact, with linear interpolation; with an accuracy, from sketches whose size doesn't grow with the rows."""
+    at = F.array(*[F.lit(x) for x in levels])
+    found = rows.agg((F.percentile(column, at) if accuracy is None else F.percentile_approx(column, at, accuracy)).alias("v"))
+    return found.select(F.explode(F.arrays_zip(at.alias("level"), F.col("v").alias("value"))).alias("e")).select(F.col("e.level").alias("level"), F.col("e.value").alias("value"))
 
 
 def crosstab(rows: DataFrame, row: str = "delta", column: str = "len", values: tuple[str, ...] = ("q_err", "q_err_eps")) -> DataFrame:
