@@ -331,6 +331,18 @@ def test_join_odd_cases(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(twice).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("n,most", [(5, 30), (20, 30), (20, 400), (20, 10**6)])
+def test_intersections_in_parts(n, most):
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(n)]
+    every, half = np.arange(n), n // 2
+    for left, right in ((every, every), (every[:half], every[half:])):
+        found = ngram_join._shared_in_parts(sets, left, right, most)
+        for x, i in enumerate(left):
+            for y, j in enumerate(right):
+                assert i == j or found[x, y] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9, 1.0):
         bands, rows = ngram_join.bands_for(threshold)
