@@ -34,30 +34,37 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: float = MOST_REPEATS) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, most_repeats: float = MOST_REPEATS) -> DataFrame:
     """From (source, source_size), one row each: (source, source_size, target, rate).
 
-    Sources in code-point order, null last, weigh as listed, over and over.
+    weights: by source, or a list that sources in code-point order, null last,
+    take over and over. Sources without a weight, or of weight 0, have target 0.
     Water level: a source takes level x weight, or its cap if that is less.
     Sorted by cap / weight, the capped sources come first, so running sums
     find the level at once instead of by repeated sharing. The sorts run over
-    one row a source.
+    one row a source. Where all are capped, less than all sizes is shared.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy("ratio", "rank")
+    if isinstance(weights, dict):
+        weight = F.lit(0.0)
+        for name, value in weights.items():
+            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
+        out = sizes.withColumns({"weight": weight, "rank": F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))})
+    else:
+        out = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
+        out = out.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
     every = Window.partitionBy()
-    out = sizes.withColumn("rank", F.row_number().over(by_name))
-    out = out.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-    out = out.withColumn("cap", F.col("source_size").cast("double") * F.lit(float(most_repeats)))
+    out = out.withColumn("all", F.sum(F.col("source_size").cast("double")).over(every))
+    without = out.where("weight <= 0").select("source", "source_size", F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"))
+    out = out.where("weight > 0").withColumn("cap", F.col("source_size").cast("double") * F.lit(float(most_repeats)))
     out = out.withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("left", F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
+    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("left", F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     out = out.withColumn("level", F.col("left") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     out = out.withColumn("capped", F.col("ratio") <= F.col("level"))
     level = F.min(F.when(~F.col("capped"), F.struct("ratio", "rank", "level"))).over(every)["level"]
     out = out.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return out.select("source", "source_size", "target", rate.alias("rate"))
+    return out.select("source", "source_size", "target", rate.alias("rate")).unionByName(without)
 
 
 def limits(bins: DataFrame, rates: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def limits(bins: DataFrame, rates: DataFrame) -> DataFrame:
     return known.groupBy("source", "source_size", "target", "whole").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("bin") + 1)), F.lit(0)).alias("below"))
 
 
-def with_copies(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, *, most_repeats: float = MOST_REPEATS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def with_copies(df: DataFrame, weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, *, most_repeats: float = MOST_REPEATS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Add __size, __source_size, __target and __copies to every row; the other columns stay as they are.
 
     Null texts have size 0; null sources are one source, the last. Sources of
@@ -88,7 +95,7 @@ def with_copies(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, *, most_rep
     return df.withColumn("__copies", F.col("__whole") + (F.col("__bin") < F.col("__below")).cast("long")).drop("__key", "__source", "__bin", "__whole", "__below")
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, **options) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, **options) -> DataFrame:
     """The mixed corpus: every row as often as its source's rate and its draw say, with the columns of df."""
     out = with_copies(df, weights, **options)
     repeats = F.expr("explode(CASE WHEN __copies > 0 THEN array_repeat(true, int(__copies)) ELSE array() END)")
