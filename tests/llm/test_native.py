@@ -82,6 +82,13 @@ def test_targets(spark, sizes):
     assert sum(found.values()) == pytest.approx(sum(sizes.values()))
 
 
+def test_targets_by_name(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100), (None, 100)], "source string, source_size long")
+    found = {r.source: (r.target, r.rate) for r in mixing.targets(sizes, {"a": 3, "b": 1, None: 0.0}).collect()}
+    assert found == {"a": (300.0, 3.0), "b": (100.0, 1.0), "c": (0.0, 0.0), None: (0.0, 0.0)}
+    assert {r.target for r in mixing.targets(sizes, {"a": 1}).collect()} == {300.0, 0.0}
+
+
 def test_mixing_odd_cases(spark):
     df, rows = odd_documents(spark, extra=True)
     out = mixing.with_copies(df).collect()
