@@ -58,3 +58,18 @@ def test_stream_equals_batch(spark, tmp_path, files_a_time):
     stream = spark.readStream.schema("s string").option("maxFilesPerTrigger", files_a_time).parquet(f"{tmp_path}/in*")
     found = streaming.run_to_end(streaming.streaming_histogram(stream, ["abc", "ab"], 1), f"t{files_a_time}")
     assert sorted(map(tuple, found.collect())) == [("ab", 0, 6), ("abc", 0, 3), ("abc", 1, 3)]
+
+
+def test_cache_builds_once(spark, tmp_path):
+    from substrata.operators import lbs
+    from substrata.sources import cache
+
+    rows, built = spark.createDataFrame([(0, "abc"), (1, "abd")], "rid long, s string"), []
+
+    def build():
+        built.append(1)
+        return lbs.build(rows, n=3, least=1, hashes=2)
+
+    found = [cache.cached(spark, str(tmp_path), "grams", p, build, "token").orderBy("token").collect() for p in ({"n": 3, "least": 1}, {"least": 1, "n": 3}, {"n": 4})]
+    assert found[0] == found[1] and len(built) == 2
+    assert next(r.cnt for r in found[0] if r.token == "ab") == 2
