@@ -6,36 +6,53 @@ columns of documents; the last adds where each row goes.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from substrata.llm import decontam, mixing, ngram_join, quality, sharding
 from substrata.llm.common import remove, table, work_path
+from substrata.session import ship
 
 SHARDS = 16
 
 
+def _stage(make):
+    @functools.wraps(make)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return make(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF, fitted to the labels, doesn't reject."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near and exact copies the document with the smallest id."""
     return ngram_join.keep_one(docs)
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; documents that are mostly benchmark go."""
     out = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources near their target weights, documents repeated as their source's rate says."""
     return mixing.mix(docs)
 
 
+@_stage
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with region, rack, shard and slot."""
     return sharding.placed(docs, sharding.Topology.even(SHARDS))
