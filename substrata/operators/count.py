@@ -25,7 +25,12 @@ GRAM = 2
 
 def collapsed(strings: DataFrame, column: str = "s") -> DataFrame:
     """(s, w): distinct strings and how often they occur; nulls are left out."""
-    return strings.select(F.col(column).alias("s")).where("s IS NOT NULL").groupBy("s").agg(F.count("*").alias("w"))
+    return weighted(strings, column).groupBy("s").agg(F.sum("w").alias("w"))
+
+
+def weighted(strings: DataFrame, column: str = "s") -> DataFrame:
+    """(s, w): every string with weight 1, without a shuffle; nulls are left out."""
+    return strings.select(F.col(column).alias("s"), F.lit(1).cast("long").alias("w")).where("s IS NOT NULL")
 
 
 def distinct_queries(queries: DataFrame, column: str = "q", prefix_aug: bool = False) -> DataFrame:
@@ -47,14 +52,14 @@ def _sent(queries: DataFrame) -> DataFrame:
 def _by_kernel(name: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
     kernel = kernels.KERNELS[name]
 
-    def strategy(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
+    def strategy(queries: DataFrame, strings: DataFrame, delta: int, spread: bool = True) -> DataFrame:
         if not block_of(queries):
             raise ValueError(f"more than {MOST_QUERY_CHARS} characters of queries; use the strategy 'partition', or blocks of queries")
         names = sorted(r["q"] for r in queries.collect())
         spark = strings.sparkSession
         shared = spark.sparkContext.broadcast(names)
-        # a kernel's work is queries x characters, of which the size of its input says little: keep every core busy
-        strings = strings.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+        if spread:  # a kernel's work is queries x characters, of which the size of its input says little: keep every core busy
+            strings = strings.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, total = shared.value, np.zeros((len(shared.value), delta + 1), np.int64)
@@ -119,13 +124,16 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
 }
 
 
-def histogram(queries: DataFrame, strings: DataFrame, delta: int, strategy: str = "auto") -> DataFrame:
-    """(q, d, n) from distinct (q) and weighted (s, w). auto: "block" if the queries fit a block, else "partition"."""
+def histogram(queries: DataFrame, strings: DataFrame, delta: int, strategy: str = "auto", spread: bool = True) -> DataFrame:
+    """(q, d, n) from distinct (q) and weighted (s, w). auto: "block" if the queries fit a block, else "partition".
+
+    spread: deal the strings of a kernel strategy out evenly first.
+    """
     if strategy == "auto":
         strategy = "block" if block_of(queries) else "partition"
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(['auto', *STRATEGIES])}")
-    return STRATEGIES[strategy](queries, strings, delta)
+    return STRATEGIES[strategy](queries, strings, delta, spread) if strategy in kernels.KERNELS else STRATEGIES[strategy](queries, strings, delta)
 
 
 def cumulated(queries: DataFrame, counts: DataFrame, delta: int) -> DataFrame:
@@ -134,10 +142,16 @@ def cumulated(queries: DataFrame, counts: DataFrame, delta: int) -> DataFrame:
     return queries.join(within, "q", "left").select("q", F.array(*[F.coalesce(f"c{k}", F.lit(0)).cast("long") for k in range(delta + 1)]).alias("cards"))
 
 
-def approx_substring_count(queries: DataFrame, strings: DataFrame, delta: int, *, strategy: str = "auto", query_col: str = "q", string_col: str = "s") -> DataFrame:
-    """(word, delta, card): one row for each distinct query and threshold, zeros included."""
+def approx_substring_count(queries: DataFrame, strings: DataFrame, delta: int, *, strategy: str = "auto", query_col: str = "q", string_col: str = "s", collapse: bool = True, spread: bool = True) -> DataFrame:
+    """(word, delta, card): one row for each distinct query and threshold, zeros included.
+
+    collapse: count equal strings once, at the cost of shuffling the distinct
+    ones. Without it and without spread a kernel strategy shuffles nothing but
+    counts: the plan for a large table of strings that seldom repeat.
+    """
     q = distinct_queries(queries, query_col)
-    out = cumulated(q, histogram(q, collapsed(strings, string_col), delta, strategy), delta)
+    s = (collapsed if collapse or strategy not in ("auto", *kernels.KERNELS) else weighted)(strings, string_col)
+    out = cumulated(q, histogram(q, s, delta, strategy, spread), delta)
     return out.select(F.col("q").alias("word"), F.posexplode("cards").alias("delta", "card"))
 
 
