@@ -44,6 +44,25 @@ def union_size(n: Column | str, m: Column | str, share: Column) -> Column:
     return (_c(n) + _c(m)) / (1 + share)
 
 
+def intersection_size(counts: Column | str, signatures: Column | str) -> Column:
+    """Size of the intersection of several sets, from ARRAY of sizes and ARRAY of signatures.
+
+    The largest set's size over its share of the union gives the union, whose
+    share at which all signatures agree is the intersection. The share is at
+    least the largest size over the sum of sizes.
+    """
+    counts, signatures = _c(counts), _c(signatures)
+    places = F.sequence(F.lit(0), F.size(signatures[0]) - 1)
+    n = F.size(signatures[0])
+    most = F.array_max(counts)
+    largest = signatures[F.array_position(counts, most).cast("int") - 1]
+    at = lambda k: F.transform(signatures, lambda s: s[k])
+    share = F.size(F.filter(places, lambda k: largest[k] == F.array_min(at(k)))) / n
+    floor = most / F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
+    agree = F.size(F.filter(places, lambda k: F.array_min(at(k)) == F.array_max(at(k)))) / n
+    return most / F.greatest(share, floor) * agree
+
+
 def q_error(y: Column | str, estimate: Column | str) -> Column:
     """max(y / e, e / y), both raised to 1 at least."""
     y, e = (F.greatest(_c(x).cast("double"), F.lit(1.0)) for x in (y, estimate))

@@ -204,3 +204,23 @@ def filtered_pairs(queries: DataFrame, strings: DataFrame, delta: int) -> DataFr
     q, s = distinct_queries(queries), collapsed(strings)
     made = [make(q, s, delta).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("pairs"), F.count("*").alias("distinct_pairs")).select(F.lit(name).alias("filter"), "pairs", "distinct_pairs") for name, make in (("partition", partition_candidates), ("qgram", gram_candidates))]
     return made[0].unionByName(made[1])
+
+
+def violations(counts: DataFrame, n: int) -> DataFrame:
+    """Rows of (word, delta, card) that no true count table has, with the reason.
+
+    A count is between 0 and n, doesn't fall with the threshold, is n once the
+    threshold reaches the query's length, and doesn't grow as a query that the
+    table has too is continued.
+    """
+    order = Window.partitionBy("word").orderBy("delta")
+    rows = counts.withColumn("before", F.lag("card").over(order))
+    shorter = counts.select(F.col("word").alias("start"), "delta", F.col("card").alias("wider"))
+    rows = rows.withColumn("start", F.expr("substring(word, 1, length(word) - 1)")).join(shorter, ["start", "delta"], "left")
+    reason = (
+        F.when((F.col("card") < 0) | (F.col("card") > n), "out of range")
+        .when(F.col("card") < F.col("before"), "falls with the threshold")
+        .when((F.col("delta") >= F.length("word")) & (F.col("card") != n), "not all strings at its own length")
+        .when(F.col("card") > F.col("wider"), "more than its prefix")
+    )
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("word", "delta", "card", "reason")

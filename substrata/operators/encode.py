@@ -20,6 +20,16 @@ def char_dictionary(strings: DataFrame, most: int | None = None, string_col: str
     return out if most is None else out.where(F.col("id") < FIRST + most)
 
 
+def alphabet(strings: DataFrame, string_col: str = "s") -> DataFrame:
+    """(ch, id): the distinct characters in code-point order, ids from 0."""
+    return char_counts(strings, string_col).select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).alias("id"))
+
+
+def strictly_encoded(string_col: str, codes: Column) -> Column:
+    """ARRAY<INT> of ids; a character that the alphabet lacks is an error."""
+    return F.transform(T.chars(string_col), lambda x: F.coalesce(F.try_element_at(codes, x), F.raise_error(F.concat(F.lit("not in the alphabet: "), x)).cast("int")))
+
+
 def lookup(dictionary: DataFrame) -> Column:
     """A MAP literal of the dictionary (fetched: one row a character)."""
     rows = dictionary.select("ch", "id").collect()

@@ -42,6 +42,18 @@ def command_line(options: list[str]) -> Column:
     return F.concat_ws(" ", *[F.when(F.col(o).isNotNull(), F.concat(F.lit(f"--{o} "), F.col(o).cast("string"))) for o in options])
 
 
+def lookup(params: DataFrame, key: Column, records: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """The rows of params with the metrics wanted, name -> (table, JSON field), of the records under their key.
+
+    Rows that lack a metric, or whose record holds a traceback, are left out.
+    """
+    out = params.withColumn("__key", key)
+    for name, (tbl, path) in wanted.items():
+        one = records.where((F.col("tbl") == tbl) & ~F.col("value").contains("Traceback")).select(F.col("exp_key").alias("__key"), field("value", path, "double").alias(name)).where(F.col(name).isNotNull())
+        out = out.join(one, "__key")
+    return out.drop("__key")
+
+
 def clipped(rows: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Without the rows outside the range; nulls and NaN stay."""
     c = F.col(column)

@@ -254,6 +254,11 @@ def char_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return encode.char_dictionary(_names(spark, d))
 
 
+@query("SELECT ch, (row_number() OVER (ORDER BY ch) - 1)::INTEGER AS id FROM (SELECT DISTINCT unnest(string_split(p_name, '')) AS ch FROM part)")
+def sorted_alphabet(spark: SparkSession, d: str) -> DataFrame:
+    return encode.alphabet(_names(spark, d))
+
+
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     codes = encode.lookup(encode.char_dictionary(_names(spark, d), 12))
     return _queries(spark, d).select("q", encode.encoded("q", codes).alias("ids"))
@@ -575,6 +580,14 @@ def runs_pivot(spark: SparkSession, d: str) -> DataFrame:
     return runs.pivoted(last, "exp_key", "tbl", ["click", "view", "error"], "k")
 
 
+@query("""WITH l AS (SELECT event_type AS tbl, user_id AS u, json_extract(arg_max(props, event_id), '$.k')::DOUBLE AS k FROM events GROUP BY 1, 2)
+    SELECT c_custkey, a.k AS clicked, b.k AS failed FROM customer JOIN l a ON a.tbl = 'click' AND a.u = c_custkey JOIN l b ON b.tbl = 'error' AND b.u = c_custkey""")
+def run_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Customers beside the last values of two tables of records under their key; those that lack one are left out."""
+    params = _t(spark, d, "customer").select("c_custkey")
+    return runs.lookup(params, F.col("c_custkey").cast("string"), runs.latest(_runs(spark, d)), {"clicked": ("click", "k"), "failed": ("error", "k")})
+
+
 @query("SELECT event_type, user_id, avg(value) AS value_mean, round(stddev_samp(value), 9) AS value_std, count(*) AS n FROM (SELECT event_type, user_id, value, event_id FROM events) GROUP BY 1, 2")
 def seed_aggregate(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "events").select("event_type", "user_id", "value", "event_id")

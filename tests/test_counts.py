@@ -124,3 +124,28 @@ def test_text_expressions(spark):
     assert row.prefixes == ["a", "a😀", "a😀b"] and row.suffixes == ["b", "😀b"] and row.grams == ["a😀", "😀b"] and row.none == []
     assert row.parts == ["a😀", "b"] and sorted(row.masks) == sorted(["a😀", w + "😀", "a" + w, w + w])
     assert (row.extension, row.stem) == ("gz", "y.tar") and row.points == [97, 128512, 98] and row.padded == [97, 128512, 98, 0, 0]
+
+
+def test_violations(spark):
+    strings = spark.createDataFrame([(x,) for x in ("abc", "abd", "x", "")], "s string")
+    q = spark.createDataFrame([("abc",)], "q string").select(F.explode(T.prefixes("q")).alias("q"))
+    counts = count.approx_substring_count(q, strings, 2)
+    assert count.violations(counts, 4).count() == 0
+    wrong = spark.createDataFrame([("a", 0, 2), ("a", 1, 1), ("ab", 0, 3), ("b", 0, 9), ("b", 1, 2)], "word string, delta int, card long")
+    assert {(r.word, r.delta): r.reason for r in count.violations(wrong, 4).collect()} == {("a", 1): "falls with the threshold", ("ab", 0): "more than its prefix", ("b", 0): "out of range", ("b", 1): "falls with the threshold"}
+
+
+def test_intersections_and_alphabets(spark):
+    from substrata.functions import stats as S
+    from substrata.operators import encode, runs
+
+    rows = spark.createDataFrame([([4, 2], [[1, 5, 3, 9], [1, 5, 7, 9]])], "n array<long>, sigs array<array<long>>")
+    assert rows.select(S.intersection_size("n", "sigs").alias("x")).first().x == pytest.approx(4 / 1.0 * 0.75)
+    codes = encode.lookup(encode.alphabet(spark.createDataFrame([("bca",)], "s string")))
+    words = spark.createDataFrame([("cab",)], "s string")
+    assert words.select(encode.strictly_encoded("s", codes).alias("x")).first().x == [2, 0, 1]
+    with pytest.raises(Exception, match="not in the alphabet"):
+        spark.createDataFrame([("z",)], "s string").select(encode.strictly_encoded("s", codes)).collect()
+    records = spark.createDataFrame([("join", "k1", '{"t": 2}', 1), ("est", "k1", '{"e": 3}', 1), ("join", "k2", '{"t": 2}', 1), ("est", "k2", "Traceback", 1)], runs.SCHEMA)
+    params = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "k string")
+    assert [tuple(r) for r in runs.lookup(params, F.col("k"), records, {"t": ("join", "t"), "e": ("est", "e")}).collect()] == [("k1", 2.0, 3.0)]
