@@ -44,34 +44,47 @@ def _blocks(codes: list[np.ndarray], most: int, cells: int = CELLS) -> Iterator[
 
 
 def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, delta: int) -> np.ndarray:
-    """Histogram (queries, delta + 1). Myers's recurrence for text search with a query in each 64-bit lane.
+    """Histogram (queries, delta + 1). Myers's recurrence for text search with a query in each lane.
 
-    A block holds many strings by all queries; at each step every lane reads
-    the next character of its string. Strings that have ended leave the block.
+    Queries of up to 8, 16, 32 and 64 characters take lanes of as many bits;
+    longer ones go through plain dynamic programming.
     """
     out = np.zeros((len(queries), delta + 1), np.int64)
-    short = [k for k, q in enumerate(queries) if 0 < len(q) <= WORD]
+    if not strings:
+        return out
+    codes, weights = encode(strings), np.asarray(weights)
     for k, q in enumerate(queries):
         if not q:
             out[k, 0] += weights.sum()
         elif len(q) > WORD:
             for s, w in zip(strings, weights, strict=True):
-                d = sed(q, s)
-                if d <= delta:
+                if (d := sed(q, s)) <= delta:
                     out[k, d] += w
-    if not short or not strings:
-        return out
-    coded = encode([queries[k] for k in short])
+    shorter = 0
+    for lane in (np.uint8, np.uint16, np.uint32, np.uint64):
+        bits = lane(0).nbytes * 8
+        some = [k for k, q in enumerate(queries) if shorter < len(q) <= bits]
+        shorter = bits
+        if some:
+            out[some] += _lanes([queries[k] for k in some], codes, weights, delta, lane)
+    return out
+
+
+def _lanes(queries: list[str], codes: list[np.ndarray], weights: np.ndarray, delta: int, lane: type) -> np.ndarray:
+    """bit_parallel() of queries that fit lanes of this type.
+
+    A block holds many strings by all queries; at each step every lane reads
+    the next character of its string. Strings that have ended leave the block.
+    """
+    out = np.zeros((len(queries), delta + 1), np.int64)
+    coded, one = encode(queries), lane(1)
     alphabet = np.unique(np.concatenate(coded))
     length = np.array([len(q) for q in coded])
-    lane_type = next(t for t in (np.uint16, np.uint32, np.uint64) if length.max() <= t(0).nbytes * 8)  # short queries take short lanes
-    one = lane_type(1)
-    table = np.zeros((len(alphabet) + 1, len(short)), lane_type)  # the last row: characters of no query
-    for lane, q in enumerate(coded):
-        np.bitwise_or.at(table[:, lane], np.searchsorted(alphabet, q), one << np.arange(len(q), dtype=lane_type))
-    high = one << (length - 1).astype(lane_type)
-    codes = encode(strings)
-    for members in _blocks(codes, LANES // len(short)):
+    table = np.zeros((len(alphabet) + 1, len(queries)), lane)  # the last row: characters of no query
+    for k, q in enumerate(coded):
+        np.bitwise_or.at(table[:, k], np.searchsorted(alphabet, q), one << np.arange(len(q), dtype=lane))
+    high = one << (length - 1).astype(lane)
+    for members in _blocks(codes, max(1, LANES // len(queries))):
         sizes = np.array([len(codes[k]) for k in members])
         steps = int(sizes[0])
         grid = np.full((steps, len(members)), len(alphabet), np.int32)
@@ -80,29 +93,37 @@ def bit_parallel(queries: list[str], strings: list[str], weights: np.ndarray, de
                 at = np.searchsorted(alphabet, codes[k])
                 at[at == len(alphabet)] = 0
                 grid[: sizes[m], m] = np.where(alphabet[at] == codes[k], at, len(alphabet))
-        score = np.broadcast_to(length.astype(np.int8), (len(members), len(short))).copy()
+        score = np.broadcast_to(length.astype(np.int8), (len(members), len(queries))).copy()
         best = score.copy()
-        plus = np.full(score.shape, ~lane_type(0))
-        minus = np.zeros(score.shape, lane_type)
+        plus = np.full(score.shape, ~lane(0))
+        minus = np.zeros(score.shape, lane)
         alive = np.searchsorted(-sizes, -np.arange(steps), side="left")  # strings longer than t are the first ones
         for t in range(steps):
             n = alive[t]
             if n < len(plus):
                 plus, minus, score = plus[:n], minus[:n], score[:n]
-            eq = table[grid[t, :n]]
+            eq = table.take(grid[t, :n], axis=0)
             xv = eq | minus
-            xh = (((eq & plus) + plus) ^ plus) | eq
-            ph = minus | ~(xh | plus)
+            xh = eq & plus
+            xh += plus
+            xh ^= plus
+            xh |= eq
             mh = plus & xh
-            score = score + ((ph & high) != 0).view(np.int8) - ((mh & high) != 0).view(np.int8)
+            xh |= plus
+            ph = np.invert(xh, out=xh)
+            ph |= minus
+            score += ((ph & high) != 0).view(np.int8)
+            score -= ((mh & high) != 0).view(np.int8)
             ph <<= one
             mh <<= one
-            plus = mh | ~(xv | ph)
-            minus = ph & xv
+            np.bitwise_and(ph, xv, out=minus)
+            xv |= ph
+            plus = np.invert(xv, out=xv)
+            plus |= mh
             np.minimum(best[:n], score, out=best[:n])
         w = weights[members]
         for d in range(delta + 1):
-            out[short, d] += w @ (best == d)
+            out[:, d] += w @ (best == d)
     return out
 
 
