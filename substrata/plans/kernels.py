@@ -12,7 +12,7 @@ import numpy as np
 
 WORD = 64
 #: Lanes (string x query) that a block of the bit-parallel kernel works on at once.
-LANES = 1 << 16
+LANES = 1 << 17
 #: Characters, with padding, that a block has at most, unless it is a single string.
 CELLS = 1 << 20
 
