@@ -7,9 +7,9 @@ the sum of the log-probabilities of all its words, each given its neighbours.
 Words are counted over the whole corpus. The most frequent have a class of
 their own; the others share hashed classes, within which each word is as
 likely as any. A class is predicted as a group and a member of the group, so a
-prediction takes two short softmaxes. Training passes over all documents:
-each task trains on a fixed share of the positions of every document it
-reads, and the tasks' networks are averaged by the words they saw.
+prediction takes two short softmaxes. Training passes over all documents: the
+positions are dealt out over the passes, so that every word is a target in
+one of them, and the tasks' networks are averaged by the words they saw.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ GROUPS, MEMBERS = 32, 32
 RARE = 64
 SIDE = 2
 EMBEDDING, HIDDEN = 16, 32
-#: One pass for each entry; a task trains on one position of so many in every document.
-PASSES = (16, 4)
+#: One pass for each entry, with that share of all positions: each position is a target of exactly one pass.
+PASSES = (1, 15)
 BATCH, RATE = 1024, 0.05
 PORTION_WORDS, STEP_WORDS = 1 << 16, 1 << 13
 
@@ -229,18 +229,28 @@ def _portions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         at = to
 
 
+def dealt(codes: np.ndarray, places: np.ndarray, sizes: np.ndarray, passes: tuple[int, ...]) -> np.ndarray:
+    """For each place the pass that has it as a target, drawn by a hash of the text and the word's number in it."""
+    seeds = np.array([zlib.crc32(codes[places[at] : places[at] + n]) if n else 0 for n, at in sizes], np.uint64)
+    number = np.arange(len(places), dtype=np.uint64) + np.repeat((seeds << np.uint64(20)) - sizes[:, 1].astype(np.uint64), sizes[:, 0])
+    number *= np.uint64(0x9E3779B97F4A7C15)
+    number ^= number >> np.uint64(32)
+    number *= np.uint64(0xD6E8FEB86659FD93)
+    return np.searchsorted(np.cumsum(passes), (number >> np.uint64(40)).astype(np.int64) % sum(passes), "right")
+
+
 def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES) -> Network:
-    """Pass over all coded texts as often as `passes` says and average the tasks' networks after each pass.
+    """Pass over all coded texts, with the share of the positions that each entry of `passes` says, and average the tasks' networks after each pass.
 
     What comes back is one network, whatever the number of tasks: theirs are
     summed parameter by parameter in Spark.
     """
     context = texts.sparkSession.sparkContext
     network = Network.start(words.counts)
-    for step, every in enumerate(passes):
+    for step in range(len(passes)):
         shared = context.broadcast(network.flat)
 
-        def part(batches: Iterator[pa.RecordBatch], shared=shared, step=step, every=every) -> Iterator[pa.RecordBatch]:
+        def part(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
             own, memory, seen = Network(shared.value.copy()), np.full(_SIZE, 1e-4 * (step + 1), np.float32), 0
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
@@ -259,8 +269,7 @@ def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES)
 
             for batch in batches:
                 for codes, places, sizes in _portions(batch.column(0)):
-                    number = np.arange(len(places)) - np.repeat(sizes[:, 1], sizes[:, 0])
-                    chosen = places[(number + 5 * step) % every == every // 2]
+                    chosen = places[dealt(codes, places, sizes, passes) == step]
                     if len(chosen):
                         waiting.append((codes, chosen))
                         held += len(chosen)

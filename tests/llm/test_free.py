@@ -10,6 +10,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.helpers import SCHEMA, empty_documents, odd_documents, prose
 from pyspark.sql import functions as F
@@ -259,6 +260,22 @@ def test_language_model_training_follows_the_slope():
     assert network.log_probabilities(codes, at).mean() > before + 3
 
 
+def test_language_model_trains_on_every_position():
+    """Each word is a target of one pass, also in texts of one word; no pass sees one residue of a periodic text alone."""
+    texts = [np.arange(n, dtype=np.int16) % 4 for n in (1, 0, 3, 400, 1, 8, 1000)]
+    ((codes, places, sizes),) = lm_score._portions(pa.array([t.tobytes() for t in texts], pa.binary()))
+    step = lm_score.dealt(codes, places, sizes, lm_score.PASSES)
+    assert len(step) == sum(map(len, texts)) and set(step) <= set(range(len(lm_score.PASSES)))
+    assert {(k, c) for k, c in zip(step, codes[places], strict=True)} == set(itertools.product(range(len(lm_score.PASSES)), range(4)))
+
+
+def test_language_model_learns_from_one_word_texts(spark):
+    docs = spark.createDataFrame([(k, f"w{k % 7}", "en", "s", 2) for k in range(400)], SCHEMA)
+    words = lm_score.vocabulary(docs)
+    network = lm_score.train(lm_score.coded(docs, words).cache(), words)
+    assert not np.array_equal(network.flat, lm_score.Network.start(words.counts).flat)
+
+
 def test_language_model_odd_cases(spark):
     df, rows = odd_documents(spark, extra=True)
     out = lm_score.score_documents(df, passes=(2,)).collect()
