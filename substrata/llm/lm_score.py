@@ -6,7 +6,7 @@ the sum of the log-probabilities of all its words, each given its neighbours.
 
 Words are counted over the whole corpus. The most frequent have a class of
 their own; the others share hashed classes, within which each word is as
-likely as any. A class is predicted as a group and a member of the group, so a
+likely as its share of the class's count says. A class is predicted as a group and a member of the group, so a
 prediction takes two short softmaxes. Training passes over all documents: the
 positions are dealt out over the passes, so that every word is a target in
 one of them, and the tasks' networks are averaged by the words they saw.
@@ -37,7 +37,9 @@ PORTION_WORDS, STEP_WORDS = 1 << 16, 1 << 13
 
 _CLASSES = GROUPS * MEMBERS
 _PAD = _CLASSES
-#: A task remembers the classes of so many rare words at a time.
+#: The shares of so many of the most frequent words go to every task; those of all others are joined from the table of counts.
+HELD_SHARES = 200_000
+#: A task remembers the classes of so many other words at a time.
 REMEMBERED = 400_000
 #: Words that a task counts at a time.
 HELD_WORDS = 300_000
@@ -49,22 +51,32 @@ def split(text: str | None) -> list[bytes]:
 
 
 class Codes(dict):
-    """Word -> class: its rank if it is frequent, else a hashed class."""
+    """Word -> rank if its share is held, else -1 - its hashed class."""
 
     def __missing__(self, word: bytes) -> int:
-        code = _CLASSES - RARE + zlib.crc32(word) % RARE
-        if len(self) < REMEMBERED:
+        code = -1 - _rare(word)
+        if len(self) < HELD_SHARES + REMEMBERED:
             self[word] = code
         return code
 
 
+def _rare(word: bytes) -> int:
+    return _CLASSES - RARE + zlib.crc32(word) % RARE
+
+
 @dataclass
 class Vocabulary:
     codes: Codes
-    #: log of a word's share of its class: 0 for frequent words.
+    #: log of a word's share of its class, by rank: 0 for words with a class of their own.
     within: np.ndarray
     #: by class, over the whole corpus
     counts: np.ndarray
+    #: class by rank
+    classes: np.ndarray | None = None
+    #: (word, n): the counts of all words
+    table: DataFrame | None = None
+    #: whether the shares of all words are held
+    whole: bool = True
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -90,19 +102,27 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The frequent words, of equally frequent ones the first in code-point order, and what the rare classes hold."""
+    """The most frequent words, of equally frequent ones the first in code-point order, and what the classes hold."""
     words = cut(count_words(docs, text_col))
     frequent = words.orderBy(F.desc("n"), "word").limit(_CLASSES - RARE).collect()
-    codes = Codes((r["word"].encode(), k) for k, r in enumerate(frequent))
-    counts, types = np.zeros(_CLASSES), np.ones(_CLASSES)
-    counts[: len(frequent)] = [r["n"] for r in frequent]
-    if len(frequent) == _CLASSES - RARE:
-        last = frequent[-1]
-        rare = words.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
-        for r in rare.groupBy((F.crc32(F.col("word").cast("binary")) % RARE).alias("k")).agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect():
-            k = _CLASSES - RARE + r["k"]
-            counts[k], types[k] = r["n"], r["types"]
-    return Vocabulary(codes, -np.log(types), counts)
+    own = len(frequent)
+    found = {r["word"]: r["n"] for r in frequent}
+    levels = sorted(((r["n"], r["types"]) for r in words.groupBy("n").agg(F.count("*").alias("types")).collect()), reverse=True)
+    types = np.cumsum([t for _, t in levels])
+    within_limit = int(np.searchsorted(types, HELD_SHARES, "right"))
+    if within_limit:
+        more = words.where(F.col("n") >= levels[within_limit - 1][0]).toArrow()
+        for w, k in zip(more.column("word").to_pylist(), more.column("n").to_pylist(), strict=True):
+            found.setdefault(w, k)
+    names, n = [w.encode() for w in found], np.array([*found.values()], float)
+    classes = np.array([*range(own), *map(_rare, names[own:])], np.int16)
+    counts = np.zeros(_CLASSES)
+    for r in words.groupBy((F.crc32(F.col("word").cast("binary")) % RARE).alias("k")).agg(F.sum("n").alias("n")).collect():
+        counts[_CLASSES - RARE + r["k"]] = r["n"]
+    for k in range(own):
+        counts[_rare(names[k])] -= n[k]
+        counts[k] = n[k]
+    return Vocabulary(Codes(zip(names, range(len(names)), strict=True)), np.log(n / counts[classes]), counts, classes, words, len(levels) == 0 or len(names) == types[-1])
 
 
 _SHAPES = {"embed": (_CLASSES + 1, EMBEDDING), "w1": (2 * SIDE * EMBEDDING, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, HIDDEN, MEMBERS), "bm": (GROUPS, MEMBERS)}
@@ -135,19 +155,24 @@ class Network:
         joined = self.embed.take(around, axis=0).reshape(len(at), -1)
         return around, joined, np.tanh(joined @ self.w1 + self.b1)
 
+    def members(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by group, where each group ends in that order, and in that order the logits of the group's members and h."""
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+        sorted_h, logits = h[order], self.bm[group[order]]
+        for g in range(GROUPS):
+            if ends[g] < ends[g + 1]:
+                logits[ends[g] : ends[g + 1]] += sorted_h[ends[g] : ends[g + 1]] @ self.wm[g]
+        return order, ends, logits, sorted_h
+
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the classes at these places, each given its neighbours."""
         _, _, h = self.hidden(codes, at)
         group, member = np.divmod(codes[at], MEMBERS)
         logits = h @ self.wg + self.bg
         out = logits[np.arange(len(at)), group] - _log_total(logits)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-        for g in range(GROUPS):
-            rows = order[ends[g] : ends[g + 1]]
-            if len(rows):
-                logits = h[rows] @ self.wm[g] + self.bm[g]
-                out[rows] += logits[np.arange(len(rows)), member[rows]] - _log_total(logits)
+        order, ends, logits, _ = self.members(h, group)
+        out[order] += logits[np.arange(len(at)), member[order]] - _log_total(logits)
         return out
 
     def train(self, codes: np.ndarray, at: np.ndarray, memory: np.ndarray, rate: float = RATE) -> None:
@@ -163,16 +188,19 @@ class Network:
         p /= n
         s.wg[:], s.bg[:] = h.T @ p, p.sum(0)
         back = p @ self.wg.T
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+        order, ends, logits, sorted_h = self.members(h, group)
+        p = _softmax(logits)
+        p[np.arange(len(at)), member[order]] -= 1
+        p /= n
+        more = np.empty_like(sorted_h)
         for g in range(GROUPS):
-            rows = order[ends[g] : ends[g + 1]]
-            if len(rows):
-                p = _softmax(h[rows] @ self.wm[g] + self.bm[g])
-                p[np.arange(len(rows)), member[rows]] -= 1
-                p /= n
-                s.wm[g], s.bm[g] = h[rows].T @ p, p.sum(0)
-                back[rows] += p @ self.wm[g].T
+            rows = slice(ends[g], ends[g + 1])
+            if ends[g] < ends[g + 1]:
+                np.matmul(sorted_h[rows].T, p[rows], out=s.wm[g])
+                np.matmul(p[rows], self.wm[g].T, out=more[rows])
+        some = [g for g in range(GROUPS) if ends[g] < ends[g + 1]]
+        s.bm[some] = np.add.reduceat(p, [ends[g] for g in some])
+        back[order] += more
         back *= 1 - h * h
         s.w1[:], s.b1[:] = joined.T @ back, back.sum(0)
         parts = (back @ self.w1.T).reshape(-1, EMBEDDING)
@@ -181,8 +209,13 @@ class Network:
         kinds, first = np.unique(flat[order], return_index=True)
         s.embed[kinds] = np.add.reduceat(parts[order], first)
         slope = s.flat
-        memory += slope * slope
-        self.flat -= np.float32(rate) * slope / (np.sqrt(memory) + np.float32(1e-6))
+        root = slope * slope
+        memory += root
+        np.sqrt(memory, out=root)
+        root += np.float32(1e-6)
+        slope *= np.float32(rate)
+        slope /= root
+        self.flat -= slope
 
 
 _ONES = {n: np.ones(n, np.float32) for n in (GROUPS, MEMBERS)}
@@ -199,17 +232,30 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def coded(docs: DataFrame, words: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, codes BINARY): the classes of each text's words, two bytes each. Null texts have none."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    """(row, doc_id, codes BINARY, held, others): the classes of each text's words, two bytes each; the sum of the log shares that are held, and the words, with their numbers, whose shares aren't.
+
+    Null texts have no words. Rows are numbered apart.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words.codes, words.within, words.classes))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = shared.value.codes.__getitem__
+        codes, within, classes = shared.value
+        code = codes.__getitem__
         for batch in batches:
-            made = [np.fromiter(map(code, split(text.as_py())), np.int16).tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "codes"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(part, f"doc_id {dict(rows.dtypes)['doc_id']}, codes binary")
+            made, held, others = [], [], []
+            for text in batch.column("text"):
+                run = split(text.as_py())
+                found = np.fromiter(map(code, run), np.int32, len(run))
+                known = found >= 0
+                out = (-1 - found).astype(np.int16)
+                out[known] = classes[found[known]]
+                made.append(out.tobytes())
+                held.append(float(within[found[known]].sum()))
+                others.append([(w.decode("utf-8", "replace"), k) for w, k in Counter(run[i] for i in np.flatnonzero(~known)).items()])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(made, pa.binary()), pa.array(held, pa.float64()), pa.array(others, pa.map_(pa.string(), pa.int64()))], ["row", "doc_id", "codes", "held", "others"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(part, f"row bigint, doc_id {dict(rows.dtypes)['doc_id']}, codes binary, held double, others map<string,bigint>")
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -295,24 +341,33 @@ def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES)
 
 
 def scores(texts: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) of coded texts."""
-    shared = texts.sparkSession.sparkContext.broadcast((words.within, network.flat))
+    """(row, doc_id, n_words, log_likelihood) of coded texts, so far with the shares that are held: see with_shares()."""
+    shared = texts.sparkSession.sparkContext.broadcast(network.flat)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        within, flat = shared.value
-        model = Network(flat)
+        model = Network(shared.value)
         for batch in batches:
             n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
             for codes, places, sizes in _portions(batch.column("codes")):
                 logs = np.concatenate([np.zeros(0), *(model.log_probabilities(codes, places[k : k + STEP_WORDS]) for k in range(0, len(places), STEP_WORDS))])
-                logs += within[codes[places]]
                 n.append(sizes[:, 0])
                 total.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes[:, 0]), logs, len(sizes)))
-            n, total = np.concatenate(n), np.concatenate(total)
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            n, total = np.concatenate(n), np.concatenate(total) + batch.column("held").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["row", "doc_id", "n_words", "log_likelihood"])
+
+    return texts.select("row", "doc_id", "codes", "held").mapInArrow(part, f"row bigint, doc_id {dict(texts.dtypes)['doc_id']}, n_words bigint, log_likelihood double")
+
 
-    return texts.mapInArrow(part, f"doc_id {dict(texts.dtypes)['doc_id']}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+def with_shares(found: DataFrame, texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood): the shares of all other words are joined from the table of counts and added."""
+    if not words.whole:
+        totals = F.array([F.lit(float(x)) for x in words.counts[_CLASSES - RARE :]])
+        share = F.log(F.col("n") / F.element_at(totals, (F.crc32(F.col("word").cast("binary")) % RARE + 1).cast("int")))
+        other = texts.select("row", F.explode("others").alias("word", "k")).join(words.table.select("word", share.alias("share")), "word")
+        sums = other.groupBy("row").agg(F.sum(F.col("k") * F.col("share")).alias("more"))
+        found = found.join(sums, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return found.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passes: tuple[int, ...] = PASSES) -> DataFrame:
@@ -328,7 +383,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     path = work_path(spark, "coded")
     coded(docs, words, id_col=id_col, text_col=text_col).write.parquet(path)
     texts = spark.read.parquet(path)
-    out = cut(scores(texts, words, train(texts, words, passes)))
+    out = cut(with_shares(scores(texts, words, train(texts, words, passes)), texts, words))
     remove(spark, path)
     return out
 

@@ -276,6 +276,22 @@ def test_language_model_learns_from_one_word_texts(spark):
     assert not np.array_equal(network.flat, lm_score.Network.start(words.counts).flat)
 
 
+@pytest.mark.parametrize("held", [1000, 200_000])
+def test_language_model_words_have_their_shares_of_a_class(spark, monkeypatch, held):
+    """Two words of one class, one of them three times as frequent, whether their shares are held or joined."""
+    frequent = [f"f{k}" for k in range(lm_score._CLASSES - lm_score.RARE)]
+    names = [f"t{k}" for k in range(2000)]
+    a = names[0]
+    b = next(w for w in names[1:] if lm_score._rare(w.encode()) == lm_score._rare(a.encode()))
+    texts = [" ".join(frequent)] * 9 + [" ".join(f"x{k}" for k in range(60)) for _ in range(8)] + [a, a, a, b]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(lm_score, "HELD_SHARES", held)
+    found = {r.doc_id: r.log_likelihood for r in lm_score.score_documents(docs).collect()}
+    assert found[len(texts) - 2] - found[len(texts) - 1] == pytest.approx(np.log(3), abs=1e-6)
+    words = lm_score.vocabulary(docs)
+    assert words.counts.sum() == sum(len(lm_score.split(t)) for t in texts)
+
+
 def test_language_model_odd_cases(spark):
     df, rows = odd_documents(spark, extra=True)
     out = lm_score.score_documents(df, passes=(2,)).collect()
