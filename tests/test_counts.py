@@ -81,6 +81,17 @@ def test_count_docs_query_on_a_fixture(spark, tmp_path):
     assert found == truth(["thne", "pears"], lines, 1)
 
 
+def test_count_docs_query_takes_words_of_any_length(spark, tmp_path):
+    from substrata.plans.catalogue import QUERIES
+
+    long = "contextualisation"
+    spark.createDataFrame([(1, f"A, the; {long} {'x' * 70}"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"a thx line\nother {long[:-1]}", "th", "y" + "x" * 69, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.word, r.delta): r.card for r in QUERIES["approx_count_block_docs"](spark, str(tmp_path)).collect()}
+    assert found == truth(["a", "the", long, "x" * 70], [x for t in texts if t for x in t.split("\n")], 1)
+
+
 def test_empty_database_and_unknown_strategy(spark):
     s, q = spark.createDataFrame([], "s string"), spark.createDataFrame([("ab",)], "q string")
     assert [r.card for r in count.approx_substring_count(q, s, 1).collect()] == [0, 0]
