@@ -67,9 +67,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a has none."""
+    """Estimated share of a's shingles that b has; 1 if a has none, null if a has some but none below the common bound, where nothing can be told."""
     both, m, _ = _compared(a, b)
-    return F.when(m > 0, both / m).otherwise(F.lit(1.0))
+    return F.when(m > 0, both / m).when(F.size(a["hashes"]) == 0, F.lit(1.0))
 
 
 def as_text(s: Column) -> Column:
@@ -121,7 +121,8 @@ def fingerprint_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     after the last; a lone document follows itself. Null texts are empty.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next (Jaccard) and held_edited, the share of the text's
-    shingles that the edited text has. Empty table: no rows.
+    shingles that the edited text has, null where containment() can't tell.
+    Empty table: no rows.
     """
     df = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = in_runs(df, "doc_id")

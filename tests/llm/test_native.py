@@ -203,3 +203,12 @@ def test_native_plans_have_no_python(spark, data):
         plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow")), name
     assert SCHEMA
+
+
+def test_containment_is_null_where_nothing_can_be_told(spark):
+    long = " ".join(f"x{k}" for k in range(4000))
+    rows = [(k, f"a{k} b{k} c{k}", long) for k in range(200)] + [(200, "", long), (201, "", ""), (202, long, long)]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    df = fingerprints.sketch(fingerprints.sketch(df, F.col("a"), "p"), F.col("b"), "q")
+    found = {r.k: r.inside for r in df.select("k", fingerprints.containment(F.col("p"), F.col("q")).alias("inside")).collect()}
+    assert {found[k] for k in range(200)} == {None, 0.0} and found[200] == found[201] == found[202] == 1.0
