@@ -260,6 +260,36 @@ def test_language_model_training_follows_the_slope():
     assert network.log_probabilities(codes, at).mean() > before + 3
 
 
+def test_language_model_slopes_are_the_numeric_ones():
+    """A step with a large, even memory moves the weights by their slopes."""
+    drawn = np.random.default_rng(3)
+    network = lm_score.Network(drawn.normal(0, 0.3, lm_score._SIZE))
+    codes, at = drawn.integers(0, lm_score._CLASSES, 3000).astype(np.int16), np.arange(2, 2998)
+    flat = network.flat.copy()
+    network.train(codes, at, np.full(lm_score._SIZE, 1e12, np.float32), 1e6)
+    slope = (flat - network.flat).astype(float)
+    loss = lambda f: -lm_score.Network(f).log_probabilities(codes, at).astype(float).mean()
+    ends = np.cumsum([0, *(int(np.prod(s)) for s in lm_score._SHAPES.values())])
+    for a, b in itertools.pairwise(ends):
+        way = np.zeros(lm_score._SIZE)
+        way[a:b] = slope[a:b] / np.linalg.norm(slope[a:b])
+        numeric = (loss(flat + 0.02 * way) - loss(flat - 0.02 * way)) / 0.04
+        assert numeric == pytest.approx(np.linalg.norm(slope[a:b]), rel=0.03)
+
+
+def test_language_model_scores_shuffled_texts_lower(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    words = lm_score.vocabulary(docs)
+    network = lm_score.train(lm_score.coded(docs, words).cache(), words)
+    shuffle, rows = random.Random(5), []
+    for k, t in enumerate(docs.toPandas().text):
+        shuffled = lm_score.split(t)
+        shuffle.shuffle(shuffled)
+        rows.append((k, b" ".join(shuffled).decode(), None, None, None))
+    total = lambda d: lm_score.scores(lm_score.coded(d, words), words, network).agg(F.sum("log_likelihood")).first()[0]
+    assert total(spark.createDataFrame(rows, SCHEMA)) < total(docs)
+
+
 def test_language_model_trains_on_every_position():
     """Each word is a target of one pass, also in texts of one word; no pass sees one residue of a periodic text alone."""
     texts = [np.arange(n, dtype=np.int16) % 4 for n in (1, 0, 3, 400, 1, 8, 1000)]
