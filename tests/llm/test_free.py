@@ -372,11 +372,72 @@ def near_copies(n, block=False):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_join_equals_a_plain_version(spark, block):
+def stated(rows):
+    """What similar() says of each row, from plain_join and plain similarities."""
+    grams = lambda t: {tuple(w[i : i + min(5, len(w))]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    plain, text = plain_join(rows), dict(rows)
+    copies = {t: sum(x == t for _, x in rows) for _, t in rows}
+    like = {k: len(grams(t) & grams(text[plain[k][0]])) / max(1, len(grams(t) | grams(text[plain[k][0]]))) if t != text[plain[k][0]] else 1.0 for k, t in rows}
+    out = {}
+    for k, t in rows:
+        head = text[plain[k][0]]
+        if t == head:
+            linked = sum(like[j] >= 0.8 and text[j] != head for j, _ in rows if plain[j][0] == plain[k][0])
+        else:
+            linked = copies[head] if like[k] >= 0.8 else 0
+        out[k] = plain[k][0], min(j for j, x in rows if x == t), copies[t], pytest.approx(like[k]), copies[t] - 1 + linked
+    return out
+
+
+@pytest.mark.parametrize("block,rows_a_member", [(256, 4), (8, 4), (8, 0)])
+def test_join_equals_a_plain_version(spark, monkeypatch, block, rows_a_member):
+    monkeypatch.setattr(ngram_join, "ROWS_A_MEMBER", rows_a_member)
     rows = near_copies(120, block=block == 8)
-    out = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect()
-    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == plain_join(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = ngram_join.similar(df, block=block).collect()
+    assert {r.doc_id: (r.class_id, r.text_id, r.n_copies, r.similarity, r.n_links) for r in out} == stated(rows)
+    if rows_a_member:
+        every = ngram_join.similar(df, block=block, count_links=True).collect()
+        assert {r.doc_id: (r.class_id, r.n_all_links) for r in every} == plain_join(rows)
+        assert [r[:6] for r in sorted(every)] == [r[:6] for r in sorted(out)]
+
+
+def test_join_loses_no_class_of_many_near_copies(spark):
+    """Copies of copies, edited further and further, and edits of one text: all classes are those of all pairs."""
+    r = random.Random(8)
+    rows, chain, base = [], prose(50, 100, 10**6).split(), prose(60, 120, 10**6).split()
+    for k in range(60):  # each is linked with the next few only
+        chain[r.randrange(100)] = f"c{k}"
+        rows.append((k, " ".join(chain)))
+    for k in range(300):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 6, 9])):
+            w[r.randrange(120)] = f"new{r.randrange(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+    out = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=16).collect()
+    plain = plain_join(rows)
+    assert {x.doc_id: x.class_id for x in out} == {k: c for k, (c, _) in plain.items()}
+    assert min(x.similarity for x in out) < 0.5  # the chain's end and its first text
+
+
+def test_join_rows_of_a_group_grow_with_its_members(spark):
+    """The cells of a group whose members meet at one pivot hold a few rows a member, whatever their number."""
+    r, base = random.Random(2), prose(70, 200, 10**6).split()
+    made = []
+    for n in (100, 400):
+        rows = []
+        for k in range(n):
+            w = list(base)
+            w[r.randrange(200)] = f"n{k}"
+            rows.append((k, " ".join(w)))
+        keyed = ngram_join._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+        classes = ngram_join._classes(keyed, 5, 0.8, 0.9999)
+        members = ngram_join._buckets(classes)
+        joined = ngram_join._components(ngram_join._packed(classes), members, ngram_join._grams(keyed, classes, members, 5), 0.8, 8)
+        assert joined.select("component").distinct().count() == 1 and joined.count() == n
+        labelled = members.join(joined, "node").withColumnRenamed("component", "label")
+        made.append(ngram_join._open(labelled, classes.select("node", "n")).count())
+    assert made == [0, 0]
 
 
 def test_join_odd_cases(spark):
@@ -388,10 +449,20 @@ def test_join_odd_cases(spark):
     assert by_id[3].class_id == by_id[4].class_id == 3 and by_id[5].class_id == 5 and by_id[8].n_links == 0 and by_id[9].n_copies == 3
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 2, 3, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 5, 6, 7, 8]
     assert ngram_join.similar(empty_documents(spark)).count() == ngram_join.keep_one(empty_documents(spark)).count() == 0
-    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "other words in this one")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in ngram_join.keep_one(twice).collect()) == [1, 2]
+
+
+def test_join_of_repeated_rows_and_ids(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "w"), (1, "completely other text", "z"), (2, "other words in this one", "y"), (2, "a b c d e f", "y"), (None, "nobody's text here", "1"), (None, "nobody's text here", "1"), (None, "another of nobody", None)]
+    twice = spark.createDataFrame(rows, "doc_id long, text string, __gone string")
+    kept = ngram_join.keep_one(twice).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "another of nobody"), (0, "nobody's text here"), (1, "a b c d e f"), (1, "completely other text"), (2, "other words in this one")]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "__gone"}
+    assert sorted(map(str, ngram_join.keep_one(twice.repartition(5)).collect())) == sorted(map(str, kept))
+    named = twice.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    assert ngram_join.keep_one(named).count() == len(kept)
+    assert {r.class_id for r in ngram_join.similar(named).where("doc_id IS NOT NULL").collect()} == {"id-1", "id-2"}
 
 
 @pytest.mark.parametrize("n,most", [(5, 30), (20, 30), (20, 400), (20, 10**6)])
