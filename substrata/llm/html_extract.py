@@ -3,8 +3,9 @@
 Every page's containers are scored by how much of the page's own prose they
 hold; each container votes for its generalised path of tags and classes, and
 the votes of a host are summed. Pages are then extracted again below the path
-that won at their host, or below their own best container where the host's
-path is missing or holds next to nothing.
+that won at their host. Where that path is missing, or holds less than nearly
+all of what the page's own best container has, that container is taken too,
+so that a page whose layout differs from its host's loses nothing.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from substrata.llm.common import cut, small, table
 
 #: Hosts' winning paths are broadcast up to so many hosts, and joined by a shuffle beyond.
 BROADCAST_HOSTS = 200_000
-#: A host's path is passed over on a page where it holds less than this share of the prose.
-LEAST_COVERAGE = 0.2
+#: A host's path stands alone on pages where it holds this share of the best container's prose.
+LEAST_COVERAGE = 0.9
 #: Containers below this share of a page's prose don't vote.
 VOTE_COVERAGE = 0.3
 
 # Elements and name parts by their role on a page.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noframes", "select", "object", "audio", "video", "canvas")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noframes", "select", "audio", "video")
+#: Containers inside more than so many others count as part of the last: browsers end there too.
+MOST_DEPTH = 512
 CONTAINERS = frozenset("html body div article main section aside nav header footer form ul ol dl table tbody thead tr td th fieldset dialog figure details center menu".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr address figcaption caption tfoot legend summary hgroup option head".split())
 EXCLUDED_TAGS = frozenset("nav aside footer form header dialog menu button select label fieldset head".split())
@@ -45,7 +48,8 @@ SMALL_ARTICLES = frozenset("comment comments reply ad ads advert advertisement s
 ITEMS = frozenset("li dd dt blockquote pre figcaption".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<empty>svg|select|audio|video|template|iframe|noscript)(?![\w:-])(?:[^<>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+[^>]*+(?:>.*?(?:</(?P=raw)(?![\w:-])[^<>]*>?|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<[/!?][^>]*(?:>|\Z)|<(?P<odd>/?)(?P<oddtag>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -76,12 +80,13 @@ class Page:
     """Containers and text blocks of a page, in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.path, self.weight, self.depth = [-1], [""], [0.2], [0]
+        self.parent, self.name, self.weight, self.depth = [-1], [""], [0.2], [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, excluded
+        opened: dict[str, int] = {}  # how often each tag is in the stack
         buffer: list[str] = []
         linked = in_link = 0
         skipped = False  # the block that is open stands beside the article
@@ -97,6 +102,17 @@ class Page:
                 buffer.clear()
             linked, skipped = 0, False
 
+        def open_one(tag: str, container: int, excluded: bool) -> None:
+            stack.append((tag, container, excluded))
+            opened[tag] = opened.get(tag, 0) + 1
+
+        def close_to(tag: str) -> None:
+            while opened.get(tag):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
+                    return
+
         for token in _TOKEN.finditer(source):
             kind = token.lastgroup
             if kind == "text":
@@ -105,7 +121,7 @@ class Page:
                     linked += len(text)
                 buffer.append(text)
                 continue
-            if kind == "raw" or kind is None:
+            if kind in ("raw", "empty", None):
                 continue
             tag, closing = (token["tag"], token["close"]) if token["tag"] else (token["oddtag"], token["odd"])
             tag = tag.lower()
@@ -117,48 +133,53 @@ class Page:
                 elif tag == "button":
                     if not closing:
                         end_block()
-                        stack.append((tag, stack[-1][1], True))
-                    elif any(x[0] == tag for x in stack):
+                        open_one(tag, stack[-1][1], True)
+                    elif opened.get(tag):
                         end_block()
-                        while stack.pop()[0] != tag:
-                            pass
+                        close_to(tag)
                 elif tag == "label" and closing:
                     buffer.append(" ")
                 continue
             end_block()
             if tag in ITEMS and not closing and stack[-1][0] == tag:
-                stack.pop()
+                close_to(tag)
             if tag not in CONTAINERS and not (closing and stack[-1][0] == tag):
                 in_link = 0
-                if not closing and token["attributes"] and self._names(token["attributes"])[1]:
+                if not closing and token["attributes"] and self._names(token["attributes"], tag)[1]:
                     if tag in ITEMS:
-                        stack.append((tag, stack[-1][1], True))
+                        open_one(tag, stack[-1][1], True)
                     else:
                         skipped = True
                 continue
             if closing:
-                if any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                close_to(tag)
                 in_link = 0
                 continue
             _, outer, excluded = stack[-1]
-            prose, aside, generalised = self._names(token["attributes"] or "")
+            prose, aside, generalised = self._names(token["attributes"] or "", tag)
             if not excluded and tag == "article":
                 excluded = not SMALL_ARTICLES.isdisjoint(re.findall(r"(?:^|[\s\"'=])([a-z]+)", (token["attributes"] or "").lower())) and aside
             elif not excluded and tag not in NEVER_EXCLUDED:
-                inside = any(x[0] in ("article", "main") for x in stack)
+                inside = opened.get("article") or opened.get("main")
                 excluded = aside or tag in EXCLUDED_TAGS and not (tag == "header" and inside)
+            if self.depth[outer] >= MOST_DEPTH:
+                open_one(tag, outer, excluded)
+                continue
             self.parent.append(outer)
-            self.path.append(f"{self.path[outer]}/{tag}{generalised}")
+            self.name.append(f"/{tag}{generalised}")
             self.depth.append(self.depth[outer] + 1)
             self.weight.append(1.0 if tag == "article" else 0.95 if tag == "main" else 0.4 if tag == "html" else 0.5 if tag == "body" else 0.9 if prose else 0.6)
-            stack.append((tag, len(self.parent) - 1, excluded))
+            open_one(tag, len(self.parent) - 1, excluded)
         end_block()
 
     @staticmethod
-    def _names(attributes: str) -> tuple[bool, bool, str]:
-        """Whether class, id or role name prose, whether they name something beside it, and the classes with digits generalised."""
+    def _names(attributes: str, tag: str = "div") -> tuple[bool, bool, str]:
+        """Whether class, id or role name prose, whether they name something beside it, and the classes with digits generalised.
+
+        Ids of sections are made from headings, so only a whole one tells, and
+        those of headings and paragraphs don't tell. Classes of these tell if
+        they have no part that names nothing beside the article.
+        """
         prose = aside = False
         classes: list[str] = []
         for what, *values in _ATTRIBUTE.findall(attributes):
@@ -169,40 +190,64 @@ class Page:
             for name in value.split():
                 parts = [x.lower() for x in _PARTS.findall(name)]
                 prose |= not PROSE_NAMES.isdisjoint(parts)
-                aside |= beside(name.lower(), parts)
+                if tag in CONTAINERS and not (tag == "section" and what.lower() == "id"):
+                    aside |= beside(name.lower(), parts)
+                elif tag in CONTAINERS:
+                    aside |= name.lower() in EXCLUDED_NAMES
+                elif what.lower() == "class":
+                    aside |= name.lower() in EXCLUDED_NAMES or bool(parts) and EXCLUDED_NAMES.issuperset(parts)
                 if what.lower() == "class":
                     classes.append(_DIGITS.sub("#", name.lower()))
         return prose, aside, "".join("." + c for c in sorted(set(classes)))
 
+    def path(self, container: int) -> str:
+        names = []
+        while container > 0:
+            names.append(self.name[container])
+            container = self.parent[container]
+        return "".join(reversed(names))
+
     def scores(self) -> tuple[list[float], list[float]]:
         """Of each container: score and share of the page's prose. Text inside links is no prose."""
         prose = [0.0] * len(self.parent)
         for container, text, linked in self.blocks:
-            amount = max(0, len(text) - 2 * linked)
-            while container >= 0:
-                prose[container] += amount
-                container = self.parent[container]
+            prose[container] += max(0, len(text) - 2 * linked)
+        for k in range(len(prose) - 1, 0, -1):  # parents come first
+            prose[self.parent[k]] += prose[k]
         whole = prose[0] or 1.0
         share = [p / whole for p in prose]
-        return [s * w * (1 + 0.08 * d) for s, w, d in zip(share, self.weight, self.depth, strict=True)], share
+        return [s * w for s, w in zip(share, self.weight, strict=True)], share
 
     def votes(self) -> dict[str, float]:
         scores, share = self.scores()
         out: dict[str, float] = {}
-        for k, path in enumerate(self.path):
-            if k and share[k] >= VOTE_COVERAGE:
+        for k in range(1, len(share)):
+            if share[k] >= VOTE_COVERAGE:
+                path = self.path(k)
                 out[path] = out.get(path, 0.0) + scores[k]
         return out
 
-    def text(self, path: str | None = None) -> str:
-        """Blocks below the containers of that path, or below the best one."""
-        scores, share = self.scores()
-        chosen = {k for k, p in enumerate(self.path) if k and p == path}
-        if sum(share[k] for k in chosen) < LEAST_COVERAGE:
-            chosen = {max(range(len(scores)), key=lambda k: (scores[k], -k))}
+    def _inside(self, chosen: set[int]) -> list[bool]:
         inside = [False] * len(self.parent)
-        for k in range(len(inside)):  # parents come first
+        for k in range(len(inside)):
             inside[k] = k in chosen or k > 0 and inside[self.parent[k]]
+        return inside
+
+    def text(self, path: str | None = None) -> str:
+        """Blocks below the containers of that path, and below the best one if they don't hold nearly all of its prose.
+
+        Of containers that score alike the innermost is the best.
+        """
+        scores, _ = self.scores()
+        best = self._inside({max(range(len(scores)), key=lambda k: (round(scores[k], 9), self.depth[k], -k))})
+        inside = self._inside({k for k in range(1, len(self.name)) if path and path.endswith(self.name[k]) and self.path(k) == path})
+        held = whole = 0
+        for container, text, linked in self.blocks:
+            if best[container]:
+                whole += max(0, len(text) - 2 * linked)
+                held += max(0, len(text) - 2 * linked) * inside[container]
+        if not any(inside) or held < LEAST_COVERAGE * whole:
+            inside = [a or b for a, b in zip(inside, best, strict=True)]
         return "\n".join(text for container, text, _ in self.blocks if inside[container])
 
 
@@ -240,7 +285,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Blocks are joined by line feeds; white space inside one is a single space.
     Null and empty pages: empty text. Pages without a host form a host of
-    their own. Repeated rows vote and are extracted each. Empty table: no rows.
+    their own. Repeated rows vote and are extracted each. Of paths with equal
+    votes the shortest wins, then the last in code-point order. Pages are read
+    once from end to end, whatever their length and however broken their
+    markup. Other columns are left out. Empty table: no rows.
     """
     won = cut(winners(host_votes(pages, url_col=url_col, html_col=html_col)))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))

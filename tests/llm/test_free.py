@@ -8,6 +8,7 @@ import io
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +162,40 @@ def test_extraction_follows_the_host(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_of_split_articles(spark):
+    """A page whose article stands in two containers loses neither, whatever its host's path; a host's path stands alone where it holds the article."""
+    usual = lambda k: f'<html><body><div class="main-a"><p>{prose(k, 90)}</p></div><div class="extra"><p>few words</p></div></body></html>'
+    split = f'<html><body><div class="main-a"><p>{prose(70, 40)}</p></div><div class="part2"><p>{prose(71, 80)}</p></div></body></html>'
+    rows = [(k, "http://h.example/", usual(k)) for k in range(6)] + [(6, "http://h.example/s", split)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[6] == f"{prose(70, 40)}\n{prose(71, 80)}" and all(out[k] == prose(k, 90) for k in range(6))
+    titled = html_extract.Page(f'<html><body><div class="post"><h1>Title</h1><p>Lead</p><div class="post-body"><p>{prose(3, 99)}</p></div></div></body></html>')
+    assert titled.text() == f"Title\nLead\n{prose(3, 99)}"
+
+
+def test_extraction_keeps_blocks_named_by_their_headings():
+    page = html_extract.Page(
+        '<article><h2 id="search-algorithms">Search</h2><p id="related-work">Work</p><p class="reply-count">Count</p><section id="related-work"><p>deep <math><mi>x</mi></math> <object>o</object></p></section>'
+        '<p>before <svg viewBox="a/>b"/> after<svg><text>no</text></svg></p><select><option>no</select><p class="newsletter-signup">no</p><section id="comments"><p>no</p></section><script src="x"/>if(no)</script></article>'
+    )
+    assert page.text() == "Search\nWork\nCount\ndeep x o\nbefore after"
+
+
+@pytest.mark.parametrize("start,unit", [("<script", "\"'"), ("<svg ", "\"'"), ("<div ", "\"'"), ("", "<div>"), ("<script>", "</script "), ("", "<a \"<a >\""), ("", "<!--"), ("", "<svg/"), ("", "<"), ("", "&"), ("", "<td><tr>"), ("", "<a '\"><b "), ("", "<article><p class=ad>")])
+def test_extraction_reads_hostile_markup_in_time(start, unit):
+    began = time.time()
+    page = html_extract.Page(start + unit * 40_000 + "x")
+    page.votes()
+    page.text()
+    assert time.time() - began < 20
+
+
+def test_extraction_of_a_very_long_page():
+    words = [prose(k, 50) for k in range(4000)]
+    page = html_extract.Page("<body><nav>menu</nav><div class=post>" + "".join(f"<p>{w}</p>" for w in words) + "</div></body>")
+    assert page.text() == "\n".join(words) and max(map(len, page.votes())) < 40
+
+
 def test_extraction_of_the_test_pages(spark, data):
     rows = spark.read.parquet(f"{data}/pages.parquet").join(queries.QUERIES["op2_host_paths"](spark, data).select("page_id", "text", "n_chars"), "page_id").collect()
     for r in rows:
