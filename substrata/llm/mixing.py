@@ -2,14 +2,16 @@
 
 Tokens are summed per source, targets shared out by weight, and a source's
 repetition rate is its target over its size. A document is emitted floor(rate)
-times, and once more if a number hashed from its id falls below a limit.
-
-The limit is the fraction of the rate, as the draws of this very source make
-it: with the fraction itself, the words drawn from a source of 50 documents
-miss its target by up to 47 percent. So the words are also summed by bins of
-the drawn numbers, and the limit is the bin's edge up to which the words come
-nearest the target. It nears the fraction as sources grow, each document's
-draw stays a hash of its id, and reruns agree.
+times, and once more by a Bernoulli draw: if a number hashed from its id is
+below the fraction of the rate.
+
+Of a source of few documents these draws miss the target, of 50 documents by
+up to 47 percent of it. So a named second step, settle, mends the draw of the
+same numbers where it missed: the words drawn are also summed by bins of the
+numbers, and documents whose number lies between the fraction and the bin's
+edge up to which the words come nearest the target change sides. That step
+touches no more words than the draw was off by and half a bin, and the limit
+nears the fraction as sources grow; settle=False leaves the plain draw.
 """
 
 from __future__ import annotations
@@ -68,43 +70,50 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] | dict[str | None, floa
 
 
 def limits(bins: DataFrame, rates: DataFrame) -> DataFrame:
-    """From (source, bin, size) and targets(): (source, source_size, target, whole, below), whole = floor(rate); documents in bins under `below` get a copy more.
+    """From (source, bin, size) and targets(): (source, source_size, target, whole, limit), whole = floor(rate).
 
-    A source has BINS rows at most. The bins whose middle is within the words
-    that whole repetitions leave are the first ones.
+    Documents whose number is below limit get a copy more: the bins whose
+    middle is within the words that whole repetitions leave are the first
+    ones, and bins without words are in none. A source has BINS rows at most.
     """
     rates = rates.withColumn("whole", F.floor("rate")).withColumn("need", F.col("target") - F.floor("rate") * F.col("source_size"))
-    known = bins.withColumnRenamed("source", "__of").join(small(rates, BROADCAST_SOURCES), F.col("__of").eqNullSafe(F.col("source"))).drop("__of")
+    known = bins.withColumnRenamed("source", "of").join(small(rates, BROADCAST_SOURCES), F.col("of").eqNullSafe(F.col("source"))).drop("of")
     middle = F.sum("size").over(Window.partitionBy("source").orderBy("bin")) - F.col("size") / 2
-    known = known.withColumn("inside", middle <= F.col("need"))
-    return known.groupBy("source", "source_size", "target", "whole").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("bin") + 1)), F.lit(0)).alias("below"))
+    known = known.withColumn("inside", (middle <= F.col("need")) & (F.col("size") > 0) & (F.col("need") > 0))
+    return known.groupBy("source", "source_size", "target", "whole").agg((F.coalesce(F.max(F.when(F.col("inside"), F.col("bin") + 1)), F.lit(0)) / F.lit(float(BINS))).alias("limit"))
 
 
-def with_copies(df: DataFrame, weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, *, most_repeats: float = MOST_REPEATS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Add __size, __source_size, __target and __copies to every row; the other columns stay as they are.
+def with_copies(df: DataFrame, weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, *, most_repeats: float = MOST_REPEATS, seed: str = SEED, settle: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(row, size, source_size, target, copies) of every row; row is a struct of its columns, whatever their names.
 
-    Null texts have size 0; null sources are one source, the last. Sources of
-    size 0 have target 0. Rows of one id draw alike. Empty table: no rows.
+    settle: whether the draws of a source are mended to meet its target, see
+    above. Null texts have size 0; null sources are one source, the last.
+    Sources of target 0, as those of size 0, have no copies. Documents without
+    words are copied as the draw says and never more than ceil(rate) times.
+    Rows of one id draw alike, rows without an id as one id. Repeated rows
+    count each. Long texts are counted whole. Empty table: no rows.
     """
-    bin_of = F.floor(draw(seed, id_text(id_col)) * BINS).cast("int")
-    df = df.withColumns({"__size": words(F.col(text_col)), "__source": F.col(source_col), "__bin": bin_of})
-    bins = cut(df.groupBy(F.col("__source").alias("source"), F.col("__bin").alias("bin")).agg(F.sum("__size").alias("size")))
+    number = draw(seed, id_text(id_col))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("of"), number.alias("number"))
+    bins = cut(rows.groupBy(F.col("of").alias("source"), F.floor(F.col("number") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("size")))
     rates = cut(targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_repeats))
-    found = cut(limits(bins, rates)).toDF("__key", "__source_size", "__target", "__whole", "__below")
-    df = df.join(small(found, BROADCAST_SOURCES), F.col("__source").eqNullSafe(F.col("__key")))
-    return df.withColumn("__copies", F.col("__whole") + (F.col("__bin") < F.col("__below")).cast("long")).drop("__key", "__source", "__bin", "__whole", "__below")
+    if settle:
+        found = limits(bins, rates)
+    else:
+        found = rates.select("source", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("limit"))
+    rows = rows.join(small(cut(found), BROADCAST_SOURCES), F.col("of").eqNullSafe(F.col("source")))
+    return rows.select("row", "size", "source_size", "target", (F.col("whole") + (F.col("number") < F.col("limit")).cast("long")).alias("copies"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, **options) -> DataFrame:
-    """The mixed corpus: every row as often as its source's rate and its draw say, with the columns of df."""
-    out = with_copies(df, weights, **options)
-    repeats = F.expr("explode(CASE WHEN __copies > 0 THEN array_repeat(true, int(__copies)) ELSE array() END)")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], repeats.alias("__again")).drop("__again")
+    """The mixed corpus: every row as often as its source's rate and its draw say, with the columns of df. Odd cases: see with_copies()."""
+    out = with_copies(df, weights, **options).where("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_bernoulli_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def oracle(weights: tuple[float, ...] = WEIGHTS, most_repeats: float = MOST_REPEATS, seed: str = SEED) -> str:
@@ -118,8 +127,8 @@ def oracle(weights: tuple[float, ...] = WEIGHTS, most_repeats: float = MOST_REPE
           FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     t AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE (SELECT arg_min(level, (ratio, rank)) FROM l WHERE ratio > level) * weight END AS target FROM l),
     r AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM t),
-    m AS (SELECT source, bin, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) - sum(size) / 2.0::DOUBLE AS middle FROM d GROUP BY source, bin),
-    k AS (SELECT r.source, r.source_size, r.target, r.whole, coalesce(max(bin + 1) FILTER (middle <= target - whole * source_size), 0) AS below
+    m AS (SELECT source, bin, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) - sum(size) / 2.0::DOUBLE AS middle FROM d GROUP BY source, bin),
+    k AS (SELECT r.source, r.source_size, r.target, r.whole, coalesce(max(bin + 1) FILTER (middle <= target - whole * source_size AND words > 0 AND target > whole * source_size), 0) AS below
           FROM r JOIN m ON r.source IS NOT DISTINCT FROM m.source GROUP BY ALL)
     SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN bin < below THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source"""
