@@ -9,6 +9,7 @@ the weights of a subtree change, only documents that enter or leave it move.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from substrata.llm.common import draw, id_text, sql_draw, table
 
 SLOT_BUCKETS = 1024
+#: Rows of two whole numbers each.
+BROADCAST_STARTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -57,46 +60,63 @@ def _weights(tree: dict) -> dict:
     return {k: float(total(v)) for k, v in tree.items()}
 
 
-def _winner(path: str, weights: dict[int, float], key: Column) -> Column:
-    if len(weights) == 1:
-        return F.lit(next(iter(weights)))
-    draws = [F.struct((-F.ln(draw(f"{path}/{child}", key)) / F.lit(weight)).alias("draw"), F.lit(child).alias("child")) for child, weight in sorted(weights.items())]
-    return F.least(*draws)["child"]
+_LEAVES = "array<struct<child:int,weight:double>>"
+_RACKS = f"array<struct<child:int,weight:double,below:{_LEAVES}>>"
+_REGIONS = f"array<struct<child:int,weight:double,below:{_RACKS}>>"
 
 
-def _choose(chosen: Column, by_child: dict[int, Column]) -> Column:
-    """The expression of the child chosen; only that one is evaluated."""
-    out = None
-    for child, value in sorted(by_child.items()):
-        out = F.when(chosen == child, value) if out is None else out.when(chosen == child, value)
-    return out
+def _nested(tree: dict) -> list[dict]:
+    """Children in order, with their weights and what is below them."""
+    return [{"child": k, "weight": w} | ({"below": _nested(tree[k])} if isinstance(tree[k], dict) else {}) for k, w in sorted(_weights(tree).items())]
 
 
-def locate(df: DataFrame, topology: Topology, id_col: str = "doc_id", prefix: str = "") -> DataFrame:
-    """Add region, rack and shard (INT), each under the prefix; columns of these names are replaced."""
-    tree, key = topology.tree(), id_text(id_col)
-    region, rack, shard = (f"{prefix}{x}" for x in ("region", "rack", "shard"))
-    df = df.withColumn(region, _winner("tree", _weights(tree), key))
-    df = df.withColumn(rack, _choose(F.col(region), {r: _winner(f"tree/{r}", _weights(racks), key) for r, racks in tree.items()}))
-    return df.withColumn(shard, _choose(F.col(region), {r: _choose(F.col(rack), {k: _winner(f"tree/{r}/{k}", leaves, key) for k, leaves in racks.items()}) for r, racks in tree.items()}))
+def _winner(children: Column, path: Column, key: Column, below: bool = True) -> Column:
+    """The child with the smallest draw, the first of equal ones: its number and what is below it."""
+
+    def drawn(c: Column) -> Column:
+        number = -F.ln(draw(F.concat(path, F.lit("/"), c["child"].cast("string")), key)) / c["weight"]
+        return F.struct(number.alias("draw"), c["child"].alias("child"), *([c["below"].alias("below")] if below else []))
 
+    return F.array_min(F.transform(children, drawn))
 
-def _slotted(rows: DataFrame, slot_buckets: int) -> DataFrame:
-    """Add slot to rows that have doc_id, size, text_crc32 and shard.
+
+def locate(df: DataFrame, topology: Topology, id_col: str = "doc_id", prefix: str = "") -> DataFrame:
+    """Add region, rack and shard (INT), each under the prefix; columns of these names are replaced.
+
+    The tree is a constant array, so the expression is as short for thousands
+    of shards as for a few. Null ids count as one id.
+    """
+    key = id_text(id_col)
+    tree = F.from_json(F.lit(json.dumps(_nested(topology.tree()))), _REGIONS)
+    region = _winner(tree, F.lit("tree"), key)
+    path = lambda *found: F.concat_ws("/", F.lit("tree"), *[x["child"].cast("string") for x in found])
+    others = [F.col(f"`{c}`") for c in df.columns if c not in {f"{prefix}{x}" for x in ("region", "rack", "shard")}]
+    df = df.select(*others, F.struct(region.alias("region"), key.alias("key")).alias("place"))
+    at = F.col("place.region")
+    df = df.withColumn("place", F.struct(at.alias("region"), _winner(at["below"], path(at), F.col("place.key")).alias("rack"), F.col("place.key").alias("key")))
+    at, rack = F.col("place.region"), F.col("place.rack")
+    shard = _winner(rack["below"], path(at, rack), F.col("place.key"), below=False)
+    return df.select(*others, at["child"].alias(f"{prefix}region"), rack["child"].alias(f"{prefix}rack"), shard["child"].alias(f"{prefix}shard"))
+
+
+def _slotted(rows: DataFrame, shards: int, slot_buckets: int) -> DataFrame:
+    """Add slot to rows that have doc_id, size, text_crc32 and shard, and at most `row` besides.
 
     The slot numbers a shard's rows from 0 without gaps. Rows are numbered
     within hash buckets of a shard and each bucket starts where the one before
-    ends, so no task holds a whole shard; the table of bucket sizes has at
-    most shards x slot_buckets rows, whatever the input, and is broadcast.
+    ends, so no task holds a whole shard, nor all rows without an id or with
+    one id, unless their texts are equal too. The table of bucket sizes has at
+    most shards x slot_buckets rows, whatever the input, and is broadcast if
+    that is at most BROADCAST_STARTS.
     """
-    bucket = F.pmod(F.conv(F.substring(F.md5(id_text("doc_id")), 1, 8), 16, 10).cast("long"), F.lit(slot_buckets))
-    rows = rows.withColumn("__bucket", bucket)
-    starts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    starts = starts.withColumn("__start", F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("__n"))
-    order = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "size", "text_crc32")
-    rows = rows.withColumn("__place", F.row_number().over(order))
-    rows = rows.join(F.broadcast(starts.select("shard", "__bucket", "__start")), ["shard", "__bucket"])
-    return rows.withColumn("slot", F.col("__start") + F.col("__place") - 1).drop("__bucket", "__place", "__start")
+    whole = F.concat_ws(":", id_text("doc_id"), "size", "text_crc32")
+    rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("long"), F.lit(slot_buckets)))
+    starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    starts = starts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
+    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
+    rows = rows.withColumn("at", F.row_number().over(order))
+    rows = rows.join(F.broadcast(starts) if shards * slot_buckets <= BROADCAST_STARTS else starts, ["shard", "bucket"])
+    return rows.withColumn("slot", F.col("start") + F.col("at") - 1).drop("bucket", "at", "start")
 
 
 def _sized(id_col: str, text_col: str) -> list[Column]:
@@ -107,24 +127,29 @@ def _sized(id_col: str, text_col: str) -> list[Column]:
 def shard_documents(df: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Return id, size (UTF-8 bytes of the text plus 1), text_crc32, region, rack, shard, slot and grown_shard of every row.
 
-    Null text: no bytes, CRC of the empty text. Null ids: all share one place.
-    Repeated ids: one shard, slots of their own. Empty table: no rows.
+    Null text: no bytes, CRC of the empty text. Null ids: all share one shard.
+    Repeated ids: one shard, slots of their own. Rows alike in id, size and
+    CRC have their slots in no certain order. Empty table: no rows.
     """
     rows = locate(locate(df.select(*_sized(id_col, text_col)), topology), topology.grown(), prefix="grown_").drop("grown_region", "grown_rack")
-    return _slotted(rows, slot_buckets).select("doc_id", "size", "text_crc32", "region", "rack", "shard", "slot", "grown_shard")
+    return _slotted(rows, len(topology.leaves), slot_buckets).select("doc_id", "size", "text_crc32", "region", "rack", "shard", "slot", "grown_shard")
 
 
 def placed(df: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """The rows with all their columns and region, rack, shard and slot; columns of these names are replaced."""
+    """The rows with all their columns and region, rack, shard and slot; columns of these names are replaced.
+
+    Null ids, repeated rows and ties: see shard_documents(). Texts are carried
+    whole, of any length; a null one counts as empty. Empty table: no rows.
+    """
     added = ("region", "rack", "shard", "slot")
-    rows = locate(df.select(*_sized(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")), topology)
-    return _slotted(rows, slot_buckets).select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns if c not in added], *added)
+    rows = locate(df.select(*_sized(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), topology)
+    return _slotted(rows, len(topology.leaves), slot_buckets).select(*[F.col("row")[c].alias(c) for c in df.columns if c not in added], *added)
 
 
 def write_shards(df: DataFrame, topology: Topology, path: str, *, id_col: str = "doc_id", salts: int = 16) -> None:
     """Write the rows as Parquet, one folder a shard, each in at most so many files."""
-    located = locate(df, topology, id_col, "__").withColumn("__salt", F.pmod(F.xxhash64(id_text(id_col)), F.lit(salts)))
-    located.repartition("__shard", "__salt").drop("__salt", "__region", "__rack").write.partitionBy("__shard").parquet(path)
+    located = locate(df, topology, id_col, "__")
+    located.repartition("__shard", F.pmod(F.xxhash64(id_text(id_col)), F.lit(salts))).drop("__region", "__rack").write.partitionBy("__shard").parquet(path)
 
 
 def op10_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,11 +187,12 @@ def oracle(topology: Topology, slot_buckets: int = SLOT_BUCKETS, documents: Sequ
     d AS (SELECT *, {new_region} AS region FROM c),
     e AS (SELECT *, {new_rack} AS rack FROM d),
     f AS (SELECT doc_id, text, shard, {new_shard} AS grown_shard, hex(encode(text)) AS bytes,
-                 (('0x' || substr(md5({key}), 1, 8))::BIGINT) % {slot_buckets} AS bucket FROM e),
-    g AS (SELECT f.*, strlen(text)::BIGINT + 1 AS size,
+                 {key} AS key FROM e),
+    h AS (SELECT f.*, strlen(text)::BIGINT + 1 AS size,
                  xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(text)::BIGINT), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT),
                                  lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS text_crc32
-          FROM f, crc)
+          FROM f, crc),
+    g AS (SELECT *, (('0x' || substr(md5(key || ':' || size || ':' || text_crc32), 1, 8))::BIGINT) % {slot_buckets} AS bucket FROM h)
     SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
            row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard::INTEGER AS grown_shard
     FROM g"""

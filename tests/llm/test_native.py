@@ -1,6 +1,8 @@
 """Fingerprints, mixing, line dedup and sharding: against plain versions and SQL."""
 
 import hashlib
+import random
+import time
 import zlib
 
 import pytest
@@ -52,6 +54,23 @@ def test_sharding_is_fair_and_moves_little(spark):
         sharding.locate(ids, sharding.Topology(()))
 
 
+def test_placement_of_many_shards_and_clashing_names(spark):
+    topology = sharding.Topology.even(400)
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "concat('t', id) AS text", "id AS slot", "id AS bucket", "id AS place", "id AS row", "id AS at", "id AS start", "id AS n")
+    began = time.time()
+    out = sharding.placed(df, topology, slot_buckets=8).collect()
+    assert time.time() - began < 30
+    assert len(out) == 3000 and len({r.shard for r in out if r.doc_id is None}) == 1 and len({r.shard for r in out}) > 380
+    assert all(r.bucket == r.place == r.row == r["at"] == r.start == r.n for r in out)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.placed(empty_documents(spark), topology).count() == sharding.shard_documents(empty_documents(spark), topology).count() == 0
+    hashed = df.where("doc_id IS NULL").selectExpr("doc_id", "length(text) + 1L AS size", "crc32(CAST(text AS binary)) AS text_crc32", "0 AS shard")
+    assert sharding._slotted(hashed, 1, 1024).count() == 1000
+
+
 def test_shards_on_disk(spark, tmp_path):
     df, rows = odd_documents(spark)
     sharding.write_shards(df, sharding.Topology.even(4), f"{tmp_path}/s")
@@ -93,18 +112,60 @@ def test_mixing_odd_cases(spark):
     df, rows = odd_documents(spark, extra=True)
     out = mixing.with_copies(df).collect()
     again = mixing.with_copies(df).collect()
-    key = lambda r: (str(r.doc_id), str(r.text), r["__copies"])
+    key = lambda r: (str(r.row.doc_id), str(r.row.text), r.copies)
     assert len(out) == len(rows) and sorted(map(key, out)) == sorted(map(key, again))
-    assert all(0 <= r["__copies"] <= 3 for r in out)
-    assert {r["__size"] for r in out if r.text is None} == {0}
+    assert all(0 <= r.copies <= 3 for r in out)
+    assert {r["size"] for r in out if r.row.text is None} == {0}
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and mixed.count() == sum(r["__copies"] for r in out)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in out)
     assert mixing.mix(empty_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("settle", [True, False])
+def test_mix_against_a_plain_version(spark, settle):
+    """Copies by hand, with columns named as the operator's own, documents without words, a capped source and one of target 0."""
+    r = random.Random(5)
+    rows = [(k, "w " * (r.randrange(9) if k % 4 else 0), "abcd"[0 if k % 2 else k % 3 + 1]) for k in range(900)] + [(901, "one two", "z"), (902, "", "z"), (903, "", "none"), (904, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ("__bin", "__size", "size", "row", "copies", "number", "of", "source_size", "target", "limit", "whole", "bin")
+    for name in names:
+        df = df.withColumn(name, F.concat(F.lit("odd "), F.col("doc_id")))
+    weights = {"a": 1, "b": 2, "c": 0.0, "z": 100, "none": 5}
+    got, kept = {}, mixing.mix(df, weights, settle=settle).collect()
+    for x in kept:
+        assert all(x[n] == f"odd {x.doc_id}" for n in names)
+        got[x.doc_id] = got.get(x.doc_id, 0) + 1
+    size = {k: len((t or "").split()) for k, t, _ in rows}
+    total = {s: sum(size[k] for k, _, x in rows if x == s) for s in "abcdz"}
+    targets = {x.source: x.rate for x in mixing.targets(spark.createDataFrame(list(total.items()), "source string, source_size long"), weights).collect()}
+    drawn = {k: (int(hashlib.md5(f"mix:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13 for k, _, _ in rows}
+    for s in "abcdz":
+        mine = [k for k, _, x in rows if x == s]
+        whole, part = divmod(targets[s], 1)
+        limit = part
+        if settle:
+            need, bins = part * total[s], {}
+            for k in mine:
+                bins[int(drawn[k] * mixing.BINS)] = bins.get(int(drawn[k] * mixing.BINS), 0) + size[k]
+            limit, so_far = 0.0, 0
+            for b in sorted(bins):
+                so_far += bins[b]
+                if bins[b] and need > 1e-9 and so_far - bins[b] / 2 <= need:
+                    limit = (b + 1) / mixing.BINS
+        assert {k: got.get(k, 0) for k in mine} == {k: int(whole) + (drawn[k] < limit) for k in mine}
+    assert got[901] == got[902] == 3 and not {903, 904} & got.keys()
+
+
+def test_plain_draws_have_the_share_of_the_fraction(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'w w' AS text", "concat('s', id % 2) AS source")
+    for settle in (True, False):
+        extra = {r.source: r.share for r in mixing.with_copies(df, (3, 5), settle=settle).groupBy("row.source").agg(F.avg(F.col("copies") - F.lit(0)).alias("share")).collect()}
+        assert extra["s0"] == pytest.approx(0.75, abs=0.012) and extra["s1"] == pytest.approx(1.25, abs=0.012)
+
+
 def test_mixing_comes_near_its_targets(spark):
     df = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', 1 + int(id % 7)) AS text", "concat('s', CASE WHEN id % 3 = 0 THEN 0 ELSE id % 20 END) AS source")
-    out = mixing.with_copies(df).groupBy("source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("taken"), F.first("__target").alias("target")).collect()
+    out = mixing.with_copies(df).groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     for r in out:
         assert abs(r.taken - r.target) <= 8  # half of a bin, which holds a few documents of up to 7 words
 
