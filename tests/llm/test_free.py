@@ -6,6 +6,7 @@ import hashlib
 import html
 import io
 import itertools
+import pickle
 import random
 import re
 import time
@@ -50,7 +51,32 @@ def test_automaton_equals_a_plain_search(seed):
         spans, found = automaton.scan(decontam.words(text))
         assert len(decontam.words(text)) == n
         assert set(itertools.chain.from_iterable(range(*s) for s in spans)) == hit
-        assert sorted({automaton.items[k] for k in found}) == names
+        assert sorted({automaton.names[k] for k in found}) == names
+
+
+def test_automaton_scans_in_time_and_stays_small():
+    """Items and texts of one repeated word, where each word has as many suffixes as words before it; a short item inside."""
+    items = [("one", [b"a"] * 30_000), ("short", [b"a"] * 3), ("b", [b"b", b"a"])]
+    automaton = pickle.loads(pickle.dumps(decontam.Automaton(items)))
+    began = time.time()
+    spans, hit = automaton.scan([b"a"] * 300_000 + [b"b", b"a", b"c"])
+    assert time.time() - began < 5 and spans == [(0, 300_002)] and hit == {0, 1, 2}
+    r = random.Random(3)
+    big = decontam.Automaton([(str(k), [b"w%d" % r.randrange(30_000) for _ in range(50)]) for k in range(2000)])
+    assert big.nbytes < 100 * 50 * 2000
+
+
+def test_scan_with_several_automata(spark):
+    """A benchmark of more words than one automaton takes gives the rows that one of all items gives."""
+    r = random.Random(6)
+    items = [(k, " ".join(r.choice("abcdef") for _ in range(r.choice([2, 5, 11, 14])))) for k in range(12)] + [(3, "a b"), (None, "c d e")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k % 30, " ".join(r.choice("abcdefxyz") for _ in range(r.randrange(60)))) for k in range(40)] + [(None, None), (50, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("odd")).withColumn("n_hit", F.lit(7)).repartition(3)
+    one, several = (sorted(map(str, decontam.scan_documents(docs, bench, window=4, block_words=n).collect())) for n in (1000, 20))
+    assert one == several and any("contaminated=True" in x for x in one)
+    one, several = (sorted(map(str, decontam.decontaminate(docs, bench, window=4, max_coverage=0.3, block_words=n).collect())) for n in (1000, 20))
+    assert one == several and len(one) < len(rows)
 
 
 def test_words_follow_the_pattern():
