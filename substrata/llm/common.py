@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -20,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    Only where spark.checkpoint.dir is unset (tests, one machine) a temporary
-    folder takes its place.
+    Only where spark.checkpoint.dir is unset and all runs on one machine, a
+    temporary folder takes its place.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = context._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
+    if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="substrata-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -75,5 +78,14 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+@functools.cache
+def keep_heap() -> None:
+    """Let this process keep the memory that arrays free, as glibc's allocator would otherwise give it back and fault it in again for each numpy expression."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
+        mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
