@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from substrata.llm.common import cut, remove, table, work_path
+from substrata.llm.common import cut, keep_heap, remove, table, work_path
 
 GROUPS, MEMBERS = 32, 32
 RARE = 64
@@ -297,6 +297,7 @@ def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES)
         shared = context.broadcast(network.flat)
 
         def part(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
+            keep_heap()
             own, memory, seen = Network(shared.value.copy()), np.full(_SIZE, 1e-4 * (step + 1), np.float32), 0
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
@@ -345,6 +346,7 @@ def scores(texts: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(network.flat)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         model = Network(shared.value)
         for batch in batches:
             n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
