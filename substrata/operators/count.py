@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from substrata.functions import text as T
@@ -89,19 +89,28 @@ def pigeonhole(queries: DataFrame, delta: int) -> DataFrame:
     return queries.where(F.length("q") > delta).select("q", F.explode(T.parts("q", delta + 1)).alias("part"))
 
 
+def _key() -> list[Column]:
+    """Two hashes that stand for a string where its parts or grams are listed: a long string goes through no shuffle once a part."""
+    return [F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2")]
+
+
+def _with_strings(found: DataFrame, strings: DataFrame) -> DataFrame:
+    return found.join(strings.select("s", "w", *_key()), ["k1", "k2"]).select("q", "s", "w")
+
+
 def partition_candidates(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
     """(q, s, w): pairs in which the string holds one of the query's parts. Short queries pair with every string."""
     cut = pigeonhole(queries, delta)
     sizes = [r[0] for r in cut.select(F.length("part")).distinct().collect()]  # of parts: a handful of numbers
     pieces = F.array_distinct(F.flatten(F.array(*[T.qgrams("s", n) for n in sorted(sizes)]))) if sizes else F.array().cast("array<string>")
-    held = strings.select("s", "w", F.explode(pieces).alias("part"))
-    found = held.join(cut, "part").select("q", "s", "w").distinct()
+    held = strings.select(*_key(), F.explode(pieces).alias("part"))
+    found = _with_strings(held.join(cut, "part").select("q", "k1", "k2").distinct(), strings)
     return found.unionByName(_sent(queries.where(F.length("q") <= delta)).crossJoin(strings).select("q", "s", "w"))
 
 
 def gram_candidates(queries: DataFrame, strings: DataFrame, delta: int, gram: int = GRAM) -> DataFrame:
     """(q, s, w): pairs that share one of delta + 1 disjoint q-grams, the run of them that fewest strings hold."""
-    index = strings.select("s", "w", F.explode(F.array_distinct(T.qgrams("s", gram))).alias("gram"))
+    index = strings.select(*_key(), F.explode(F.array_distinct(T.qgrams("s", gram))).alias("gram"))
     frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
     need = (delta + 1) * gram
     starts = queries.where(F.length("q") >= need).select("q", F.explode(T.between(F.lit(1), F.length("q") - (need - 1))).alias("start"))
@@ -109,7 +118,7 @@ def gram_candidates(queries: DataFrame, strings: DataFrame, delta: int, gram: in
     costs = runs.join(frequency, "gram", "left").groupBy("q", "start").agg(F.sum(F.coalesce("df", F.lit(0))).alias("cost"))
     best = costs.groupBy("q").agg(F.min(F.struct("cost", "start"))["start"].alias("start"))
     chosen = runs.join(best, ["q", "start"]).select("q", "gram").distinct()
-    found = index.join(chosen, "gram").select("q", "s", "w").distinct()
+    found = _with_strings(index.join(chosen, "gram").select("q", "k1", "k2").distinct(), strings)
     return found.unionByName(_sent(queries.where(F.length("q") < need)).crossJoin(strings).select("q", "s", "w"))
 
 

@@ -9,10 +9,20 @@ from substrata.functions import stats as S
 from substrata.functions import text as T
 
 
-def postings(rows: DataFrame, tokens, id_col: str = "rid") -> DataFrame:
-    """(token, df, rids): the sorted distinct ids of the rows that hold each token of an array column."""
+#: Ids that a part of a posting list spans.
+POSTING_IDS = 1 << 16
+
+
+def postings(rows: DataFrame, tokens, id_col: str = "rid", span: int = POSTING_IDS) -> DataFrame:
+    """(token, part, df, rids): the sorted distinct ids of the rows that hold each token of an array column, and their number.
+
+    Ids are whole numbers. A list is in parts of `span` successive ids, in
+    order, so that a token which all rows hold is no single row or task.
+    """
     spread = rows.select(id_col, F.explode(F.array_distinct(tokens)).alias("token"))
-    return spread.groupBy("token").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(id_col)).alias("rids"))
+    parts = spread.groupBy("token", F.floor(F.col(id_col) / span).alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(id_col)).alias("rids"))
+    sizes = parts.groupBy("token").agg(F.sum(F.size("rids")).alias("df"))
+    return parts.join(sizes, "token").select("token", "part", "df", "rids")
 
 
 def _tokens(n: int, string_col: str) -> Column:
@@ -43,14 +53,25 @@ def extended_signatures(rows: DataFrame, n: int, coefficients: list[tuple[int, i
     return spread.groupBy("token").agg(F.sum("w").alias("cnt"), *[F.min(h).alias(h) for h in names]).where(F.col("cnt") >= least).select("token", "cnt", F.array(*names).alias("sig"))
 
 
+HASH_RANGES = 256
+
+
 def ranks(ids: DataFrame, coefficients: list[tuple[int, int]], id_col: str = "rid") -> DataFrame:
     """(id, r0, r1, ...): the place from 0 of each id in each hashed order.
 
     Distinct ids below the prime have distinct hashes, so a place is unique.
-    Used for small id sets; signatures() works on the hashes themselves, which
-    give the same minima without a global sort.
+    Hashes spread evenly, so ids are placed within HASH_RANGES ranges of them,
+    each a task, that start where the one before ends. signatures() works on
+    the hashes themselves, which give the same minima without any sort.
     """
-    return ids.select(id_col, *[(F.row_number().over(Window.orderBy(S.linear_hash(id_col, a, b))) - 1).alias(f"r{k}") for k, (a, b) in enumerate(coefficients)])
+    out = ids.select(id_col)
+    for k, (a, b) in enumerate(coefficients):
+        out = out.withColumn("__hash", S.linear_hash(id_col, a, b)).withColumn("__range", F.floor(F.col("__hash") * HASH_RANGES / S.PRIME).cast("int"))
+        sizes = out.groupBy("__range").agg(F.count("*").alias("__n"))
+        starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))  # HASH_RANGES rows
+        out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__range").orderBy("__hash"))).join(F.broadcast(starts), "__range")
+        out = out.withColumn(f"r{k}", (F.col("__start") + F.col("__nth") - 1).cast("int")).drop("__hash", "__range", "__nth", "__start")
+    return out
 
 
 def signatures(tokens: DataFrame, coefficients: list[tuple[int, int]], least: int = 1, id_col: str = "rid") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from substrata.functions import stats as S
+from substrata.operators.sampling import in_sequence
 
 #: The levels that reports list.
 LEVELS = (0.10, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.90, 0.95, 0.99, 1.0)
@@ -20,9 +21,21 @@ def summary(rows: DataFrame, column: str = "q_err") -> DataFrame:
 
 
 def quantiles(rows: DataFrame, column: str = "q_err", levels: tuple[float, ...] = LEVELS, accuracy: int | None = None) -> DataFrame:
-    """(level, value): exact, with linear interpolation; with an accuracy, from sketches whose size doesn't grow with the rows."""
+    """(level, value): exact, with linear interpolation; with an accuracy, from sketches whose size doesn't grow with the rows.
+
+    Exact: equal values are counted, the counts summed in the order of the
+    values, and the two values about each level looked up. Nulls are left out.
+    """
     at = F.array(*[F.lit(x) for x in levels])
-    found = rows.agg((F.percentile(column, at) if accuracy is None else F.percentile_approx(column, at, accuracy)).alias("v"))
+    if accuracy is None:
+        values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
+        values = in_sequence(values, ["value"], "place", "upto", "n")
+        wanted = values.agg(F.max("upto").alias("whole")).select(F.explode(at).alias("level"), "whole").withColumn("spot", F.col("level") * (F.col("whole") - 1))
+        held = lambda spot: (F.col("upto") - F.col("n") <= spot) & (spot < F.col("upto"))
+        low, high = F.floor("spot"), F.ceil("spot")
+        near = values.join(F.broadcast(wanted), held(low) | held(high)).groupBy("level", "spot").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        return near.select("level", (F.col("low") + (F.col("spot") - F.floor("spot")) * (F.col("high") - F.col("low"))).alias("value"))
+    found = rows.agg(F.percentile_approx(column, at, accuracy).alias("v"))
     return found.select(F.explode(F.arrays_zip(at.alias("level"), F.col("v").alias("value"))).alias("e")).select(F.col("e.level").alias("level"), F.col("e.value").alias("value"))
 
 

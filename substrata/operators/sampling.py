@@ -6,6 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from substrata.functions import text as T
+from substrata.sources.work import cut
+
+
+def in_sequence(rows: DataFrame, order: list[Column | str], place: str, so_far: str | None = None, value: Column | str | None = None) -> DataFrame:
+    """Add `place`, from 1, of each row in that order, and `so_far`, the sum of the value up to it.
+
+    The rows are sorted in ranges, one a task, and kept so; each range starts
+    where the one before ends, which takes one row a range to tell. Names of
+    columns that begin with two underscores are the operator's own.
+    """
+    value = F.lit(0) if value is None else F.col(value) if isinstance(value, str) else value
+    rows = cut(rows.withColumn("__value", value).sort(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sums = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.sum("__value").alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sums.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__sum_before"))
+    rows = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    added = {place: F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}
+    if so_far:
+        added[so_far] = F.col("__sum_before") + F.sum("__value").over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns(added).drop("__value", "__id", "__part", "__start", "__sum_before")
 
 
 def order_key(column: str, seed: str = "0") -> Column:
@@ -66,12 +87,19 @@ def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:
 def within_prefix_budget(queries: DataFrame, most: int, column: str = "q", order: str = "qid") -> DataFrame:
     """The queries, in order, for which the number of distinct prefixes so far is at most `most`."""
     new = queries.select(order, F.explode(T.prefixes(column)).alias("prefix")).groupBy("prefix").agg(F.min(order).alias(order)).groupBy(order).agg(F.count("*").alias("new"))
-    so_far = F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return queries.join(new, order, "left").withColumn("n_prefixes", so_far).where(F.col("n_prefixes") <= most).drop("new")
+    out = in_sequence(queries.join(new, order, "left"), [order], "__place", "n_prefixes", F.coalesce("new", F.lit(0)))
+    return out.where(F.col("n_prefixes") <= most).drop("new", "__place")
+
+
+def prefix_slots(queries: DataFrame, column: str = "q", order: str = "qid") -> DataFrame:
+    """(prefix, slot): distinct prefixes numbered from 1 as the queries, in order, bring them, the shortest first."""
+    first = queries.select(order, F.explode(T.prefixes(column)).alias("prefix")).groupBy("prefix").agg(F.min(order).alias(order))
+    return in_sequence(first, [order, F.length("prefix")], "slot").select("prefix", "slot")
 
 
 def without_replacement(rows: DataFrame, k: int, column: str, seed: str = "0") -> DataFrame:
-    return rows.orderBy(order_key(column, seed), column).limit(k)
+    """The k rows of the smallest order_key(), wherever they are: no task holds all of them."""
+    return in_sequence(rows, [order_key(column, seed), column], "__place").where(F.col("__place") <= k).drop("__place")
 
 
 def weighted_draws(edges: DataFrame, node: str, other: str, weight: str, k: int, seed: str = "0") -> DataFrame:

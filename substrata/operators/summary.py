@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from substrata.functions import text as T
-from substrata.operators.sampling import weighted_draws
+from substrata.operators.sampling import in_sequence, weighted_draws
 
 MOST_LENGTH = 20
 
@@ -50,37 +50,53 @@ def transitions(nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """(node, other, weight): ways of one and of two steps, with the product of their probabilities; ways to one node are summed."""
+    """(node, other, weight): ways of one and of two steps, with the product of their probabilities; ways to one node are summed.
+
+    A node has a child for each character at most, so it has as many ways as
+    the square of the alphabet at most, whatever the number of strings.
+    """
     second = edges.toDF("other", "then", "p2")
     two = edges.join(second, "other").select("node", F.col("then").alias("other"), (F.col("probability") * F.col("p2")).alias("probability"))
     return edges.unionByName(two).groupBy("node", "other").agg(F.sum("probability").alias("weight"))
 
 
+def walks(edges: DataFrame, k: int, seed: str) -> DataFrame:
+    """(node, draw, other): k walks from each node, of one step or two, with equal chance, by the edges' probabilities.
+
+    That is a draw by the weights of neighbours(), as all steps from a node
+    that a step leads to add up to 1, without making the pairs of neighbours.
+    """
+    first = weighted_draws(edges.where("probability > 0"), "node", "other", "probability", k, seed)
+    number = lambda *of: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *of)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    first = first.withColumn("two", number(F.lit("steps"), "node", "draw") < 0.5)
+    order = Window.partitionBy("node").orderBy("other")
+    high = F.sum("probability").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ways = edges.where("probability > 0").withColumns({"high": high, "last": F.row_number().over(order) == F.count("*").over(Window.partitionBy("node"))})
+    ways = ways.select(F.col("node").alias("at"), F.col("other").alias("then"), F.when(F.col("last"), 2.0).otherwise(F.col("high")).alias("high"))
+    on = first.where("two").withColumn("u", number(F.lit("second"), "node", "draw"))
+    on = on.join(ways, F.col("other") == F.col("at")).where("u < high").groupBy("node", "draw").agg(F.min_by("then", F.struct("high", "then")).alias("other"))
+    return first.where("NOT two").select("node", "draw", "other").unionByName(on)
+
+
 def triplets(nodes: DataFrame, k: int = 4, seed: str = "1234") -> DataFrame:
-    """(Anchor, Positive, Negative): k of each node. Positives are near on a walk (a lone node is its own), negatives any node.
+    """(Anchor, draw, Positive, Negative): k of each node. Positives are near on a walk (a lone node is its own), negatives any node.
 
-    A negative is found by its hashed rank: ranks are given in buckets, so no
-    task sorts all nodes.
+    A negative is found by its place in the order of the nodes' hashes.
     """
-    near = neighbours(transitions(nodes)).where("weight > 0")
-    positive = weighted_draws(near, "node", "other", "weight", k, seed)
+    positive = walks(transitions(nodes), k, seed)
     anchors = nodes.select(F.col("prefix").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))
-    bucket = F.pmod(F.xxhash64("prefix"), F.lit(64)).cast("int")
-    spots = nodes.select("prefix", bucket.alias("bucket")).withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.md5("prefix"), "prefix")) - 1)
-    sizes = spots.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).withColumn("whole", F.sum("n").over(Window.partitionBy()))
-    ranked = spots.join(F.broadcast(starts), "bucket").select(F.col("prefix").alias("Negative"), (F.col("start") + F.col("place")).alias("rank"))
-    whole = starts.select("whole").limit(1)
+    ranked = in_sequence(nodes.select(F.col("prefix").alias("Negative")), [F.md5("Negative"), "Negative"], "rank")
+    whole = nodes.agg(F.count("*").alias("whole"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("n"), "node", "draw")), 1, 13), 16, 10).cast("long")
-    wanted = anchors.crossJoin(F.broadcast(whole)).withColumn("rank", hashed % F.col("whole")).drop("whole")
+    wanted = anchors.crossJoin(F.broadcast(whole)).withColumn("rank", hashed % F.col("whole") + 1).drop("whole")
     out = wanted.join(ranked, "rank").join(positive, ["node", "draw"], "left")
-    return out.select(F.col("node").alias("Anchor"), F.coalesce("other", "node").alias("Positive"), "Negative")
+    return out.select(F.col("node").alias("Anchor"), "draw", F.coalesce("other", "node").alias("Positive"), "Negative")
 
 
 def pruned(nodes: DataFrame, share: float) -> DataFrame:
     """The floor(share x nodes) nodes of highest frequency, of equal ones the shallower and then the first; a parent is never less frequent than its child, so no node loses its parent."""
     keep = int(nodes.count() * share)
-    return nodes.orderBy(F.desc("frequency"), "depth", "prefix").limit(keep)
+    return in_sequence(nodes, [F.desc("frequency"), "depth", "prefix"], "place").where(F.col("place") <= keep).drop("place")
 
 
 def below(nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from substrata.functions import stats as S
@@ -171,7 +171,11 @@ def work_statistics(spark: SparkSession, d: str) -> DataFrame:
     return count.work(_queries(spark, d), _names(spark, d))
 
 
-@query()
+@query(f"""WITH {_FILTERS}, r AS (SELECT q, start, substr(q, (start + 2 * k)::INTEGER, 2) AS gram FROM (SELECT q, unnest(range(1, length(q) - 4)) AS start FROM q WHERE length(q) >= 6), (SELECT unnest(range(3)) AS k)),
+    f AS (SELECT gram, count(*) AS df FROM (SELECT DISTINCT gram FROM r) JOIN s ON contains(s, gram) GROUP BY 1),
+    b AS (SELECT q, min({{'cost': cost, 'start': start}}).start AS start FROM (SELECT q, start, sum(coalesce(df, 0)) AS cost FROM r LEFT JOIN f ON r.gram = f.gram GROUP BY 1, 2) GROUP BY 1),
+    c AS (SELECT DISTINCT 'partition' AS filter, q, s, w FROM p, s WHERE contains(s, part) UNION ALL (SELECT DISTINCT 'qgram', r.q, s, w FROM r JOIN b ON r.q = b.q AND r.start = b.start JOIN s ON contains(s, gram)) UNION ALL SELECT 'qgram', q, s, w FROM q, s WHERE length(q) < 6)
+    SELECT filter, sum(w)::BIGINT AS pairs, count(*) AS distinct_pairs FROM c GROUP BY 1""")
 def filter_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a query and a row that each filter leaves to verify."""
     return count.filtered_pairs(_queries(spark, d), _names(spark, d), DELTA)
@@ -222,10 +226,10 @@ def prefix_selectivity(spark: SparkSession, d: str) -> DataFrame:
 _GRAMS = "g AS (SELECT p_partkey AS rid, i - 1 AS pos, substr(p_name, i::INTEGER, 2) AS token FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name))) AS i FROM part))"
 
 
-@query(f"WITH {_GRAMS} SELECT token, count(*) AS df, string_agg(rid::VARCHAR, ',' ORDER BY rid) AS rids FROM (SELECT DISTINCT rid, token FROM g) GROUP BY 1")
+@query(f"WITH {_GRAMS} SELECT token, part, sum(count(*)) OVER (PARTITION BY token)::BIGINT AS df, string_agg(rid::VARCHAR, ',' ORDER BY rid) AS rids FROM (SELECT DISTINCT rid, token, rid // 500 AS part FROM g) GROUP BY 1, 2")
 def qgram_postings(spark: SparkSession, d: str) -> DataFrame:
-    out = index.postings(_rows(spark, d), T.qgrams("s", 2))
-    return out.select("token", "df", F.array_join(F.col("rids").cast("array<string>"), ",").alias("rids"))
+    out = index.postings(_rows(spark, d), T.qgrams("s", 2), span=500)
+    return out.select("token", "part", "df", F.array_join(F.col("rids").cast("array<string>"), ",").alias("rids"))
 
 
 @query(f"WITH {_GRAMS} SELECT token, count(*) AS df FROM (SELECT DISTINCT rid, token FROM g) GROUP BY 1 ORDER BY df DESC, token LIMIT 20")
@@ -241,8 +245,10 @@ def positional_qgrams(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH q AS (SELECT DISTINCT p_name AS q FROM part), l AS (SELECT q, lag(q) OVER (ORDER BY q) AS p FROM q)
     SELECT q, coalesce(list_aggregate(list_transform(range(1, least(length(q), length(p)) + 1), lambda i: CASE WHEN substr(q, 1, i::INTEGER) = substr(p, 1, i::INTEGER) THEN 1 ELSE 0 END), 'sum'), 0)::INTEGER AS lcp FROM l""")
 def lcp_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the distance table a query shares with the one before it; distinct queries are one block, so they are sorted as one."""
-    return _queries(spark, d).withColumn("p", F.lag("q").over(Window.orderBy("q"))).select("q", T.common_prefix("q", "p").alias("lcp"))
+    """How much of the distance table a query shares with the one before it."""
+    q = sampling.in_sequence(_queries(spark, d), ["q"], "place")
+    before = q.select(F.col("q").alias("p"), (F.col("place") + 1).alias("place"))
+    return q.join(before, "place", "left").select("q", T.common_prefix("q", "p").alias("lcp"))
 
 
 _CHARS = "c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS ch FROM part) GROUP BY 1), dict AS (SELECT ch, n, (row_number() OVER (ORDER BY n DESC, ch) + 1)::INTEGER AS id FROM c)"
@@ -537,7 +543,18 @@ def two_hop_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return summary.neighbours(summary.transitions(summary.tree(_names(spark, d)))).select("node", "other", F.round("weight", 9).alias("weight"))
 
 
-@query()
+def _sql_number(*of: str) -> str:
+    return f"(('0x' || substr(md5({' || \':\' || '.join(of)}), 1, 13))::BIGINT / {float(16**13)!r}::DOUBLE)"
+
+
+@query(f"""WITH {_TREE}, n AS (SELECT prefix, row_number() OVER (ORDER BY md5(prefix), prefix) AS place, count(*) OVER () AS whole FROM t),
+    u AS (SELECT node, other, sum(probability) OVER (PARTITION BY node ORDER BY other) AS high, sum(probability) OVER (PARTITION BY node) AS total, row_number() OVER (PARTITION BY node ORDER BY other) = count(*) OVER (PARTITION BY node) AS last FROM e WHERE probability > 0),
+    a AS (SELECT prefix AS node, unnest(range(4)) AS draw FROM t),
+    f AS (SELECT a.node, draw, min(other) AS other FROM a JOIN u ON a.node = u.node AND ({_sql_number("'1234'", "a.node", "draw::VARCHAR")} < high / total OR last) GROUP BY 1, 2),
+    w AS (SELECT node, draw, other FROM f WHERE {_sql_number("'1234:steps'", "node", "draw::VARCHAR")} >= 0.5
+          UNION ALL SELECT f.node, draw, min(u.other) FROM f JOIN u ON u.node = f.other AND ({_sql_number("'1234:second'", "f.node", "draw::VARCHAR")} < high OR last) WHERE {_sql_number("'1234:steps'", "f.node", "draw::VARCHAR")} < 0.5 GROUP BY 1, 2)
+    SELECT a.node AS "Anchor", a.draw::INTEGER AS draw, coalesce(w.other, a.node) AS "Positive", n.prefix AS "Negative"
+    FROM a JOIN n ON n.place = ('0x' || substr(md5('1234:n:' || a.node || ':' || a.draw), 1, 13))::BIGINT % n.whole + 1 LEFT JOIN w ON w.node = a.node AND w.draw = a.draw""")
 def triplets(spark: SparkSession, d: str) -> DataFrame:
     return summary.triplets(summary.tree(_names(spark, d)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from substrata.functions.text import csv_token
+from substrata.operators.sampling import in_sequence
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -31,8 +32,9 @@ def resolved_count(number: str, rows: int) -> int:
 
 
 def some(df: DataFrame, number: str, seed: int = 0) -> DataFrame:
-    """A shuffled sample of so many rows, see resolved_count()."""
-    return df.orderBy(F.rand(seed)).limit(resolved_count(number, df.count()))
+    """A sample of so many rows, see resolved_count(): those of the smallest hash of their values."""
+    key = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return in_sequence(df, [F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(key))), F.to_json(key)], "__place").where(F.col("__place") <= resolved_count(number, df.count())).drop("__place")
 
 
 def counts_long(spark: SparkSession, path: str) -> DataFrame:
