@@ -190,6 +190,36 @@ def for_occurrences(queries: DataFrame, counts: DataFrame, query_col: str = "q")
     return queries.select(F.col(query_col).alias("word")).join(counts, "word")
 
 
+def labels(queries: DataFrame, counts: DataFrame, prefixes: bool = False) -> DataFrame:
+    """The rows of queries (q, ...) with (delta, card) of counts (word, delta, card); a query that isn't there is an error.
+
+    prefixes: a row for each prefix, q, of length k, in place of the query's.
+    """
+    rows = queries
+    if prefixes:
+        others = [F.col(f"`{c}`") for c in queries.columns if c != "q"]
+        rows = queries.select(*others, F.posexplode(T.prefixes("q")).alias("k", "q")).withColumn("k", F.col("k") + 1)
+    found = rows.join(counts.withColumnRenamed("word", "q"), "q", "left")
+    return found.withColumn("delta", F.coalesce("delta", F.raise_error(F.concat(F.lit("no count of "), F.col("q"))).cast("int")))
+
+
+def packed(counts: DataFrame) -> DataFrame:
+    """(word, cards ARRAY<STRUCT<delta, card>>) from (word, delta, card)."""
+    return counts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("delta", "card"))).alias("cards"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """A row for each entry of cards, beside the other columns."""
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "cards"], F.inline("cards"))
+
+
+def steps(counts: DataFrame) -> DataFrame:
+    """Add to (word, delta, card) the step from the threshold before, and so_far, the sum of cards up to it."""
+    order = Window.partitionBy("word").orderBy("delta")
+    so_far = F.sum("card").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumns({"step": F.col("card") - F.coalesce(F.lag("card").over(order), F.lit(0)), "so_far": so_far})
+
+
 def running(counts: DataFrame) -> DataFrame:
     """(q, d, n) -> (q, d, n, card), card the sum up to d."""
     return counts.withColumn("card", F.sum("n").over(Window.partitionBy("q").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
@@ -208,6 +238,29 @@ def work(queries: DataFrame, strings: DataFrame) -> DataFrame:
     )
 
 
+def measured(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
+    """(strategy, total and computed and pruned lines and cells) of the strategies that share prefixes, as their kernels count them.
+
+    total: of a nested loop. pruned: of the lines that sharing leaves, those that were skipped.
+    """
+    q, s = distinct_queries(queries), collapsed(strings)
+    if not block_of(q):
+        raise ValueError(f"more than {MOST_QUERY_CHARS} characters of queries")
+    shared = strings.sparkSession.sparkContext.broadcast(sorted(r["q"] for r in q.collect()))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {name: np.zeros(2, np.int64) for name in ("sorted", "trie")}
+        for batch in batches:
+            for name, sums in found.items():
+                kernels.shared_prefix(shared.value, batch.column("s").to_pylist(), batch.column("w").to_numpy(), delta, prune=name == "trie", work=sums)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))], ["strategy", "line", "cell"])
+
+    sums = s.mapInArrow(part, "strategy string, line bigint, cell bigint").groupBy("strategy").agg(F.sum("line").alias("computed_line"), F.sum("cell").alias("computed_cell"))
+    whole = work(queries, strings)
+    out = sums.crossJoin(F.broadcast(whole))
+    return out.select("strategy", "total_line", "computed_line", (F.col("shared_line") - F.col("computed_line")).alias("pruned_line"), "total_cell", "computed_cell", (F.col("shared_cell") - F.col("computed_cell")).alias("pruned_cell"))
+
+
 def filtered_pairs(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
     """(filter, pairs, distinct_pairs): what each filter leaves to verify, in rows and in distinct strings."""
     q, s = distinct_queries(queries), collapsed(strings)

@@ -45,6 +45,12 @@ def extended_table(rows: DataFrame, n: int, least: int = 1, string_col: str = "s
     return weighed.select("w", F.explode(_tokens(n, "s")).alias("token")).groupBy("token").agg(F.sum("w").alias("cnt")).where(F.col("cnt") >= least)
 
 
+def checked(table: DataFrame, least: int) -> DataFrame:
+    """The same table; reading a token of fewer than `least` rows is an error."""
+    few = F.raise_error(F.concat(F.lit(f"fewer than {least} rows: "), F.col("token"))).cast("long")
+    return table.withColumn("cnt", F.when(F.col("cnt") >= least, F.col("cnt")).otherwise(few))
+
+
 def extended_signatures(rows: DataFrame, n: int, coefficients: list[tuple[int, int]], least: int = 1, id_col: str = "rid", string_col: str = "s") -> DataFrame:
     """The same with signatures: (token, cnt, sig). The smallest hashes are first taken over the rows of each distinct string."""
     names = [f"h{k}" for k in range(len(coefficients))]

@@ -22,7 +22,8 @@ from substrata.functions.text import WILDCARD
 from substrata.operators import index
 
 NGRAM, LEAST, HASHES = 5, 20, 10
-MOST_SCRIPTS = 10_000
+#: More edit scripts than this are refused; none is left out.
+MOST_SCRIPTS = 200_000
 _MARK = -1
 
 
@@ -30,13 +31,18 @@ _MARK = -1
 def scripts(n: int, d: int) -> tuple[tuple[int, ...], ...]:
     """Ways to apply exactly d edits to n characters: the places kept, _MARK for a wildcard.
 
-    Ways with more deletions than insertions come first, MOST_SCRIPTS are made
-    at most, and a way whose pattern some kept way's pattern occurs in goes.
+    A way whose pattern some kept way's pattern occurs in goes.
     """
-    kinds = sorted(((de, ins, d - de - ins) for ins in range(d + 1) for de in range(d - ins, -1, -1)), key=lambda k: k[1] - k[0])
-    made = itertools.chain.from_iterable(_placements(n, *k) for k in kinds if k[0] + k[2] <= n)
     letter = lambda w: "".join("?" if k == _MARK else chr(0x1000 + k) for k in w)
-    ways = {letter(w): w for w in itertools.islice(made, MOST_SCRIPTS)}
+    ways: dict[str, tuple[int, ...]] = {}
+    for gone, new in itertools.product(range(d + 1), repeat=2):
+        other = d - gone - new
+        if other < 0 or gone + other > n:
+            continue
+        for w in _placements(n, gone, new, other):
+            ways[letter(w)] = w
+            if len(ways) > MOST_SCRIPTS:
+                raise ValueError(f"more than {MOST_SCRIPTS} ways to apply {d} edits to {n} characters")
     return tuple(ways[p] for p in _least(sorted(ways, key=lambda p: (len(p), p)), "?"))
 
 
@@ -77,13 +83,13 @@ def minimal_patterns(query: str, d: int) -> tuple[str, ...]:
 
 
 def patterns(queries: DataFrame) -> DataFrame:
-    """(q, delta, ord, pattern) from (q, delta)."""
+    """(q, delta, ord, pattern) of the distinct (q, delta)."""
 
     @F.pandas_udf("array<string>")
     def made(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([list(minimal_patterns(a, int(b))) for a, b in zip(q, d, strict=True)])
 
-    return queries.select("q", "delta", F.posexplode(made("q", "delta")).alias("ord", "pattern"))
+    return queries.select("q", "delta").distinct().select("q", "delta", F.posexplode(made("q", "delta")).alias("ord", "pattern"))
 
 
 def build(rows: DataFrame, n: int = NGRAM, least: int = LEAST, hashes: int = HASHES, seed: int = 0, id_col: str = "rid", string_col: str = "s") -> DataFrame:

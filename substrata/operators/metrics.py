@@ -16,6 +16,13 @@ def with_errors(rows: DataFrame, y: str = "card", estimate: str = "estimate", ep
     return rows.withColumns({"q_err": S.q_error(y, estimate), "q_err_eps": S.q_error_eps(y, estimate, eps), "log10_err": S.log10_error(y, estimate), "msle": S.squared_log_error(y, estimate)})
 
 
+def not_finite(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose value is no finite number, with the problem: null, nan or infinite."""
+    c = F.col(column).cast("double")
+    problem = F.when(c.isNull(), "null").when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), "infinite")
+    return rows.withColumn("problem", problem).where("problem IS NOT NULL")
+
+
 def summary(rows: DataFrame, column: str = "q_err") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"))
 

@@ -26,7 +26,6 @@ from substrata.plans.autodiff import Node, Parameters, joined
 
 MOST_ROWS = 200_000
 EPOCHS, PATIENCE, BATCH = 30, 6, 256
-MOST_LENGTH, MOST_DELTA = 20, 4
 
 
 def q_errors(y: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -70,18 +69,25 @@ class Boosted(Estimator):
 
 
 class Neural(Estimator):
-    """A network over encoded strings; subclasses say which."""
+    """A network over encoded strings; subclasses say which.
+
+    Its widths are those of the longest query and the largest threshold that
+    it is fitted to, or of larger ones given. Beyond them it has no estimate
+    and says so; the recurrent network reads queries of any length.
+    """
 
     rate = 4e-3
+    any_length = False
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, most_length: int = 1, most_delta: int = 0):
         super().__init__(n)
+        self.width, self.most_delta = most_length, most_delta
         self.parameters = Parameters(seed=0)
         self.alphabet: dict[str, int] = {}
 
     @abc.abstractmethod
     def predict(self, ids: np.ndarray, length: np.ndarray) -> Node:
-        """ln(1 + count) for each threshold: (rows, MOST_DELTA + 1)."""
+        """ln(1 + count) for each threshold: (rows, most_delta + 1)."""
 
     def extra_loss(self) -> Node | float:
         return 0.0
@@ -90,12 +96,15 @@ class Neural(Estimator):
         """Before training."""
 
     def encode(self, queries: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids from 2 (0 pads, 1 is unknown), cut to MOST_LENGTH characters, and lengths."""
-        ids = np.zeros((len(queries), MOST_LENGTH), np.int64)
+        """Ids from 2 (0 pads, 1 is unknown) of whole queries, and lengths."""
+        length = np.array([len(q) for q in queries], np.int64)
+        longest = int(length.max(initial=0))
+        if longest > self.width and not self.any_length:
+            raise ValueError(f"a query of {longest} characters; the model was fitted for up to {self.width}")
+        ids = np.zeros((len(queries), max(longest, self.width)), np.int64)
         for k, q in enumerate(queries):
-            codes = [self.alphabet.get(x, 1) for x in q[:MOST_LENGTH]]
-            ids[k, : len(codes)] = codes
-        return ids, np.array([min(len(q), MOST_LENGTH) for q in queries])
+            ids[k, : len(q)] = [self.alphabet.get(x, 1) for x in q]
+        return ids, length
 
     @staticmethod
     def _fetch(rows: DataFrame) -> pd.DataFrame:
@@ -106,9 +115,12 @@ class Neural(Estimator):
         self.alphabet = {x: k for k, x in enumerate(sorted(set("".join(train.q))), 2)}
         if not len(train):
             return self
+        for rows in (train, valid):
+            if len(rows):
+                self.width, self.most_delta = max(self.width, int(rows.q.str.len().max())), max(self.most_delta, int(rows.delta.max()))
         self.prepare(sorted(set(train.q)))
         ids, length = self.encode(list(train.q))
-        delta, y = np.minimum(train.delta.to_numpy(), MOST_DELTA), np.log1p(train.card.to_numpy(float))
+        delta, y = train.delta.to_numpy(), np.log1p(train.card.to_numpy(float))
         random, best, left = np.random.default_rng(1), (np.inf, None), PATIENCE
         for _ in range(EPOCHS):
             order = random.permutation(len(y))
@@ -127,16 +139,18 @@ class Neural(Estimator):
     def estimates(self, queries: list[str], delta: np.ndarray) -> np.ndarray:
         if not queries:
             return np.zeros(0)
+        if (most := int(np.max(delta))) > self.most_delta:
+            raise ValueError(f"a threshold of {most}; the model was fitted for up to {self.most_delta}")
         ids, length = self.encode(queries)
         out = np.concatenate([np.maximum.accumulate(self.predict(ids[k : k + 2048], length[k : k + 2048]).value, 1) for k in range(0, len(queries), 2048)])
-        return np.clip(np.expm1(np.minimum(out[np.arange(len(queries)), np.minimum(delta, MOST_DELTA)], 50)), 0, self.n)
+        return np.clip(np.expm1(np.minimum(out[np.arange(len(queries)), delta], 50)), 0, self.n)
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast((type(self), self.n, self.alphabet, self.parameters.copy_values(), self.state()))
+        shared = rows.sparkSession.sparkContext.broadcast((type(self), (self.n, self.width, self.most_delta), self.alphabet, self.parameters.copy_values(), self.state()))
 
         def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kind, n, alphabet, values, state = shared.value
-            model = kind(n)
+            kind, sizes, alphabet, values, state = shared.value
+            model = kind(*sizes)
             model.alphabet = alphabet
             model.__dict__.update(state)
             model.parameters.update({k: Node(v) for k, v in values.items()})
@@ -151,9 +165,9 @@ class Neural(Estimator):
     def per_threshold(self, x: Node, name: str, size: int) -> Node:
         """A small network applied to x joined with the embedding of each threshold."""
         p, rows = self.parameters, x.value.shape[0]
-        table = p.weight(f"{name}.delta", MOST_DELTA + 1, 5)
+        table = p.weight(f"{name}.delta", self.most_delta + 1, 5)
         out = []
-        for d in range(MOST_DELTA + 1):
+        for d in range(self.most_delta + 1):
             both = joined([x, table[np.full(rows, d)]])
             h = p.dense(f"{name}.1", both, size).leaky()
             h = p.dense(f"{name}.2", h, size).leaky()
@@ -164,7 +178,7 @@ class Neural(Estimator):
 class Sequence(Neural):
     """Character embeddings through a recurrent network with gates, then a network with the threshold's embedding."""
 
-    size = 32
+    size, any_length = 32, True
 
     def predict(self, ids: np.ndarray, length: np.ndarray) -> Node:
         p, n = self.parameters, self.size
@@ -188,7 +202,7 @@ class Monotone(Neural):
 
     def bits(self, ids: np.ndarray) -> np.ndarray:
         """For each character at place p the bits p..p + 2 tau of its block."""
-        width = MOST_LENGTH + 2 * self.tau
+        width = self.width + 2 * self.tau
         out = np.zeros((len(ids), (len(self.alphabet) + 2) * width))
         row, at = np.nonzero(ids)
         for shift in range(2 * self.tau + 1):
@@ -204,7 +218,7 @@ class Monotone(Neural):
         cross = (back.softplus() - back * x.value).mean()
         divergence = (spread.exp() + mean.square() - spread - 1.0).mean() * 0.5
         self._extra = (cross + divergence * 0.1) * self.weight
-        steps = self.per_threshold(joined([drawn, h, p.dense("bits", x, 32).leaky(), Node(length[:, None] / MOST_LENGTH)]), "step", 32)
+        steps = self.per_threshold(joined([drawn, h, p.dense("bits", x, 32).leaky(), Node(length[:, None] / self.width)]), "step", 32)
         return steps.softplus().cumsum()
 
     def extra_loss(self) -> Node:
@@ -247,7 +261,7 @@ class Embedded(Neural):
             self.parameters.step((near - far + self.margin).relu().mean(), 2e-3)
 
     def predict(self, ids: np.ndarray, length: np.ndarray) -> Node:
-        x = joined([self.embed(ids), Node(length[:, None] / MOST_LENGTH)])
+        x = joined([self.embed(ids), Node(length[:, None] / self.width)])
         return self.per_threshold(x, "selectivity", 32)
 
 
@@ -261,8 +275,11 @@ def evaluate(name: str, truth: DataFrame, n: int, *, p_test: float = 0.1, p_vali
     split = sampling.three_way(truth.select("q").distinct(), p_test=p_test, p_valid=p_valid, seed=seed)
     rows = truth.select("q", "delta", "card").join(split, "q").persist()
     part = lambda s: rows.where(F.col("split") == s).select("q", "delta", "card")
-    model = ESTIMATORS[name](n).fit(part("train"), part("valid"))
-    test = part("test")
+    model, test = ESTIMATORS[name](n), part("test")
+    if isinstance(model, Neural):  # queries and thresholds to come may be larger than those of the training split
+        most = rows.agg(F.max(F.length("q")).alias("length"), F.max("delta").alias("delta")).first()
+        model.width, model.most_delta = most.length or 1, most.delta or 0
+    model.fit(part("train"), part("valid"))
     return metrics.with_errors(test.join(model.transform(test.select("q", "delta")), ["q", "delta"]))
 
 

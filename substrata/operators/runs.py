@@ -80,6 +80,15 @@ def percent(c: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", c * 100)
 
 
+def labelled(column: str, names: dict[str, str]) -> Column:
+    """The label of a value, or the value itself."""
+    out = F.col(column)
+    for value, label in names.items():
+        out = F.when(F.col(column) == value, label).otherwise(out)
+    return out
+
+
+# The fields of the log lines, in order.
 _TIMING = r"^(\S+ \S+) (\S+) (\d+) (\d+) (\d+) (\d+) (\S+) (\S+)$"
 _WORK = r"^(\S+ \S+) (\d+) (\d+) (\d+) (\d+) (\d+) (\d+)$"
 
@@ -97,10 +106,15 @@ def work_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(F.col(column).rlike(_WORK)).select(g(1).alias("log_time"), *[g(k).cast("long").alias(n) for k, n in enumerate(names, 2)])
 
 
+def place_in(column: str, names: list[str]) -> Column:
+    """The place of a value in a list, from 1; others after the last."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
+    return F.when(place == 0, len(names) + 1).otherwise(place)
+
+
 def in_order(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Sorted by the place of a value in a list; others last."""
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
-    return rows.orderBy(F.when(place == 0, len(names) + 1).otherwise(place), column)
+    return rows.orderBy(place_in(column, names), column)
 
 
 def nth(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:

@@ -97,6 +97,14 @@ def prefix_slots(queries: DataFrame, column: str = "q", order: str = "qid") -> D
     return in_sequence(first, [order, F.length("prefix")], "slot").select("prefix", "slot")
 
 
+def rows_of(values: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The values, with their other columns, and what the table (column, ...) has for each; one that isn't there is an error."""
+    known = table.withColumn("__there", F.lit(True))
+    found = values.join(known, column, "left")
+    missing = F.raise_error(F.concat(F.lit("not in the table: "), F.col(column).cast("string"))).cast("boolean")
+    return found.where(F.coalesce("__there", missing)).drop("__there")
+
+
 def without_replacement(rows: DataFrame, k: int, column: str, seed: str = "0") -> DataFrame:
     """The k rows of the smallest order_key(), wherever they are: no task holds all of them."""
     return in_sequence(rows, [order_key(column, seed), column], "__place").where(F.col("__place") <= k).drop("__place")

@@ -16,6 +16,12 @@ def generated(strings: DataFrame, generator, string_col: str = "s", start: int =
     return strings.select(F.explode(generator(F.col(string_col))).alias("string")).groupBy("string").agg((F.count("*") + start).alias("frequency"))
 
 
+def words(rows: DataFrame, text_col: str = "s", pattern: str = r"\S+", most: int | None = None) -> DataFrame:
+    """(string, frequency) of the words of lower-cased texts; `most`: of so many of the most frequent, of equal ones the first."""
+    out = generated(rows, lambda s: F.regexp_extract_all(F.lower(s), F.lit(pattern), F.lit(0)), text_col)
+    return out if most is None else in_sequence(out, [F.desc("frequency"), "string"], "place").where(F.col("place") <= most).drop("place")
+
+
 def tree(strings: DataFrame, string_col: str = "s", most: int = MOST_LENGTH) -> DataFrame:
     """(prefix, parent, depth, frequency): a node starts at 1 and counts each string below it; the root is the empty string, which is no row."""
     nodes = generated(strings, lambda s: T.prefixes(s, most), string_col, start=1)

@@ -151,13 +151,14 @@ def _next_row(row: np.ndarray, code: int, grid: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(new - place, 1) + place
 
 
-def shared_prefix(queries: list[str], strings: list[str], weights: np.ndarray, delta: int, *, prune: bool = True) -> np.ndarray:
+def shared_prefix(queries: list[str], strings: list[str], weights: np.ndarray, delta: int, *, prune: bool = True, work: np.ndarray | None = None) -> np.ndarray:
     """The same histogram by rows of the distance table, shared by queries with a common prefix.
 
     Queries are walked in sorted order and keep the rows of the prefix they
     have in common with the one before, which is a walk of the tree of their
     prefixes. prune: a string leaves a subtree as soon as its row has nothing
     within delta, and a subtree that no string is left in is skipped.
+    work: gets the lines and the cells of the distance tables that were computed.
     """
     out = np.zeros((len(queries), delta + 1), np.int64)
     if not strings:
@@ -179,6 +180,8 @@ def shared_prefix(queries: list[str], strings: list[str], weights: np.ndarray, d
             for x in q[same:]:
                 rows, row = stack[-1]
                 if len(rows):
+                    if work is not None:
+                        work += (w[rows].sum(), (w * sizes)[rows].sum())
                     row = _next_row(row, ord(x), grid[rows])
                     if prune:
                         stay = np.where(beyond[rows], delta + 1, row).min(1) <= delta

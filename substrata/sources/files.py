@@ -59,6 +59,12 @@ def triplets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_CSV).schema("Anchor string, Positive string, Negative string").csv(path)
 
 
+def postings(spark: SparkSession, path: str) -> DataFrame:
+    """(token, part, rids ARRAY<BIGINT>) of files that write_postings() wrote."""
+    rows = spark.read.options(**_CSV).schema("token string, part bigint, rids string").csv(path)
+    return rows.withColumn("rids", F.split("rids", " ").cast("array<bigint>"))
+
+
 def selectivities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_CSV).schema("string string, selectivity bigint").csv(path)
 
@@ -78,6 +84,15 @@ def write_counts_wide(table: DataFrame, path: str) -> None:
     _write(table.orderBy("word"), path)
 
 
+def write_triplets(rows: DataFrame, path: str) -> None:
+    _write(rows.select("Anchor", "Positive", "Negative"), path)
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """token, part, ids: a line for each part of a posting list, sorted by token and part."""
+    _write(rows.orderBy("token", "part").select("token", "part", F.array_join(F.col("rids").cast("array<string>"), " ").alias("rids")), path)
+
+
 def write_selectivities(rows: DataFrame, path: str) -> None:
     _write(rows.orderBy("string"), path)
 

@@ -3,7 +3,7 @@
 import pytest
 from conftest import same_rows
 
-from substrata.plans import catalogue
+from substrata.plans import roundtrips as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))

@@ -111,9 +111,16 @@ def test_estimate_command(spark, data, tmp_path):
     main(["estimate", f"{tmp_path}/c", "--strings", "200", "--model", "sequence", "--out", f"{tmp_path}/o", "--store", f"{tmp_path}/s"], spark)
     assert "0.99" in experiments.scan(spark, f"{tmp_path}/s", "est").first().value
     assert spark.read.parquet(f"{tmp_path}/o/sequence/crosstab").where("delta IS NULL AND len IS NULL").count() == 1
-    model = models.Sequence(200)
+    model = models.Sequence(200, most_delta=1)
     model.alphabet = {"a": 2}
     rows = spark.createDataFrame([("a", 0), ("b", 1)], "q string, delta int")
     assert models.latency(model, rows) > 0
+    with pytest.raises(ValueError, match="threshold of 1"):
+        models.Sequence(200).estimates(["a"], np.array([1]))
+    with pytest.raises(ValueError, match="up to 3"):
+        models.Monotone(200, 3).estimates(["abcd"], np.array([0]))
+    model.alphabet = {"a": 2, "b": 3, "c": 4}
+    long = model.estimates(["a" * 30 + "b", "a" * 30 + "c"], np.array([0, 0]))
+    assert long[0] != long[1]
     with pytest.raises(ValueError, match="no estimator"):
         models.evaluate("magic", rows, 1)
