@@ -234,11 +234,41 @@ def test_fingerprints_equal_a_plain_version(spark):
 def test_runs_cover_every_pair_of_neighbours(spark):
     df = spark.range(1000).selectExpr("id * 3 AS doc_id", "concat('t', id) AS text")
     runs = fingerprints.in_runs(df, "doc_id", run_rows=50).cache()
-    assert runs.where("NOT __after").count() == 1000 and runs.where("__after").count() == runs.select("__run").distinct().count() >= 15
+    assert runs.where("NOT after").count() == 1000 and runs.where("after").count() == runs.select("run").distinct().count() >= 15
     out = fingerprints.fingerprint_documents(df).count()
     assert out == 1000
 
 
+@pytest.mark.parametrize("ids", ["CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id END", "concat('document-', id % 400)", "CASE WHEN id % 2 = 0 THEN concat('x', id) END", "1152921504606846976 + id"])
+def test_runs_of_any_ids_follow_each_other(spark, monkeypatch, ids):
+    """Null ids, an id of a third of the rows, ids as text, ids that a double can't tell apart: as many runs, and the neighbours of one sort."""
+    monkeypatch.setattr(fingerprints, "RUN_ROWS", 50)
+    df = spark.range(1500).selectExpr(f"{ids} AS doc_id", "concat('w', id, ' a b c d e ', id * 7) AS text")
+    runs = fingerprints.in_runs(df, "doc_id", run_rows=50)
+    sizes = [r["count"] for r in runs.where("NOT after").groupBy("run").count().collect()]
+    assert sum(sizes) == 1500 and (max(sizes) < 400 or "1152" in ids)
+    order = runs.where("NOT after").select("doc_id", "text", "h", "run").collect()
+    order.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0 if not isinstance(r.doc_id, str) else r.doc_id, r.h))
+    assert [r.run for r in order] == sorted(r.run for r in order)
+    out = fingerprints.fingerprint_documents(df).collect()
+    edited = lambda x, y: x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+    expected = sorted(hashlib.sha256(edited(r.text, s.text).encode()).hexdigest() for r, s in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in out) == expected
+
+
+def test_sketch_with_and_without_a_floor(spark):
+    """Long texts alike; of short ones the plain sketch may hold nothing, and then no likeness is told."""
+    rows = [(prose(1, 3000), prose(1, 2400)), ("a b c", "a b d"), ("", ""), ("", "a b")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    for floor in (0, fingerprints.FLOOR):
+        made = fingerprints.sketch(fingerprints.sketch(df, F.col("x"), "p", floor=floor), F.col("y"), "q", floor=floor)
+        near = [r.near for r in made.select(fingerprints.likeness(F.col("p"), F.col("q")).alias("near")).collect()]
+        assert near[0] == pytest.approx(0.8, abs=0.06) and near[2] == 1.0
+        assert (near[1], near[3]) == ((0.0, 0.0) if floor else (None, None)) or not floor and set(near[1:]) <= {None, 0.0, 1.0}
+    long = fingerprints.sketch(df.where("length(x) > 9"), F.col("x"), "p").first().p
+    assert len(long.hashes) / 2996 == pytest.approx(fingerprints.FRACTION, abs=0.03)
+
+
 def test_fingerprints_odd_cases(spark):
     df, rows = odd_documents(spark, extra=True)
     out = fingerprints.fingerprint_documents(df).collect()
@@ -270,6 +300,6 @@ def test_containment_is_null_where_nothing_can_be_told(spark):
     long = " ".join(f"x{k}" for k in range(4000))
     rows = [(k, f"a{k} b{k} c{k}", long) for k in range(200)] + [(200, "", long), (201, "", ""), (202, long, long)]
     df = spark.createDataFrame(rows, "k long, a string, b string")
-    df = fingerprints.sketch(fingerprints.sketch(df, F.col("a"), "p"), F.col("b"), "q")
+    df = fingerprints.sketch(fingerprints.sketch(df, F.col("a"), "p", floor=fingerprints.FLOOR), F.col("b"), "q", floor=fingerprints.FLOOR)
     found = {r.k: r.inside for r in df.select("k", fingerprints.containment(F.col("p"), F.col("q")).alias("inside")).collect()}
     assert {found[k] for k in range(200)} == {None, 0.0} and found[200] == found[201] == found[202] == 1.0
