@@ -8,18 +8,20 @@ mean weighted by line length, put through a logistic fit to the labels.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from substrata.llm.common import table
 
 #: The model is fitted to so many labelled documents at most, those of the smallest MD5 of their id, and of so many lines each:
-#: what the driver fetches is below 4,000 x 400 x 14 numbers.
+#: what the driver fetches is below 4,000 x 400 x 14 numbers. Of longer documents a run of so many lines is taken, drawn by a hash of the text.
 TRAIN_DOCUMENTS, TRAIN_LINES = 4_000, 400
 FOLDS = 5
 THRESHOLD = 0.3
@@ -205,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Null labels and ids are left out. Of several labels of one document the
     lowest holds. The rows fetched are the measures of at most TRAIN_DOCUMENTS
-    x TRAIN_LINES lines; documents of more lines are left out of the fit.
+    x TRAIN_LINES lines, as arrays; of a document of more lines a run of them.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(remainder("id") != 0)
     chosen = chosen.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(TRAIN_DOCUMENTS)
@@ -216,19 +218,27 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             values = batch.column("text").to_pylist()
             for k, text in enumerate(values):
                 document, x, length = measure([text])
-                if len(document) <= TRAIN_LINES:
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), batch.column("label").slice(k, 1), pa.array([x.ravel().tolist()], pa.list_(pa.float64())), pa.array([length.tolist()], pa.list_(pa.float64()))], ["id", "label", "x", "length"])
+                if len(document) > TRAIN_LINES:
+                    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (len(document) - TRAIN_LINES + 1)
+                    x, length = x[at : at + TRAIN_LINES], length[at : at + TRAIN_LINES]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), batch.column("label").slice(k, 1), pa.array([x.ravel().tolist()], pa.list_(pa.float64())), pa.array([length.tolist()], pa.list_(pa.float64()))], ["id", "label", "x", "length"])
 
     kind = dict(texts.dtypes)["id"]
     rows = texts.mapInArrow(part, f"id {kind}, label int, x array<double>, length array<double>").toArrow()
     rows = rows.sort_by([("id", "ascending")])  # the fit doesn't depend on the order in which tasks end
-    x, length = (np.concatenate([np.zeros(0), *(v.as_py() for v in rows.column(c))]) for c in ("x", "length"))
-    document = np.repeat(np.arange(rows.num_rows), [len(v) for v in rows.column("length").to_pylist()]) if rows.num_rows else np.zeros(0, int)
+    x, length = (np.concatenate([np.zeros(0), *(chunk.flatten().to_numpy() for chunk in rows.column(c).chunks)]) for c in ("x", "length"))
+    document = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("length")).to_numpy()) if rows.num_rows else np.zeros(0, int)
     return fit(document, x.reshape(-1, len(MEASURES)), length, np.array(rows.column("label").to_pylist(), float))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Return (doc_id, held_out, score, predicted) for every row. Null texts score as empty ones."""
+    """Return (doc_id, held_out, score, predicted) for every row.
+
+    Null texts score as empty ones, and all texts without a line that isn't
+    blank alike. Rows of equal text score alike, whatever their id; repeated
+    rows each have a row; a row without an id isn't held out. A score of the
+    threshold is predicted 1. Texts are read whole. Empty table: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +251,7 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score at least the threshold, with all their columns."""
+    """The rows that score at least the threshold, with all their columns, repeated ones as often. Nulls, ties, long texts and empty tables: see score_documents()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
