@@ -4,12 +4,15 @@ A network reads the words on both sides of a word, through embeddings and one
 hidden layer, and predicts the word that is masked out. A document's score is
 the sum of the log-probabilities of all its words, each given its neighbours.
 
-Words are counted over the whole corpus. The most frequent have a class of
-their own; the others share hashed classes, within which each word is as
-likely as its share of the class's count says. A class is predicted as a group and a member of the group, so a
-prediction takes two short softmaxes. Training passes over all documents: the
-positions are dealt out over the passes, so that every word is a target in
-one of them, and the tasks' networks are averaged by the words they saw.
+Words are counted over the whole corpus. A word is predicted in up to three
+steps: the group of its class, the class in the group and, of most words, the
+word in the class. The OWN most frequent words are classes by themselves, the
+CLUSTERS x LEAVES next ones are dealt out over clusters, and all others share
+hashed classes, within which each word is as likely as its share of the class's
+count says. Training passes over all documents: the positions are dealt out
+over the passes, so that every word is a target in one of them, and the tasks'
+networks are averaged, each word's and each cluster's weights by how often a
+task has met it.
 """
 
 from __future__ import annotations
@@ -27,16 +30,22 @@ from pyspark.sql import functions as F
 from substrata.llm.common import cut, keep_heap, remove, table, work_path
 
 GROUPS, MEMBERS = 32, 32
-RARE = 64
+#: Classes: words by themselves, clusters of LEAVES words, hashed classes of all other words. Together GROUPS x MEMBERS.
+OWN, CLUSTERS, RARE = 736, 256, 32
+LEAVES, LOW = 128, 8
 SIDE = 2
-EMBEDDING, HIDDEN = 16, 32
+EMBEDDING, HIDDEN = 12, 24
 #: One pass for each entry, with that share of all positions: each position is a target of exactly one pass.
 PASSES = (1, 15)
-BATCH, RATE = 1024, 0.05
-PORTION_WORDS, STEP_WORDS = 1 << 16, 1 << 13
+BATCH, RATE = 8192, 0.05
+PORTION_WORDS, STEP_WORDS = 1 << 16, 1 << 15
 
 _CLASSES = GROUPS * MEMBERS
-_PAD = _CLASSES
+_KNOWN = OWN + CLUSTERS * LEAVES  # words with a code of their own, by rank; hashed classes follow
+_CODES = _KNOWN + RARE
+_PAD = _CODES
+#: Class by code: the word with rank OWN + k is leaf k // CLUSTERS of cluster k % CLUSTERS.
+_CLASS_OF = np.concatenate([np.arange(OWN), OWN + np.arange(CLUSTERS * LEAVES) % CLUSTERS, OWN + CLUSTERS + np.arange(RARE)]).astype(np.int16)
 #: The shares of so many of the most frequent words go to every task; those of all others are joined from the table of counts.
 HELD_SHARES = 200_000
 #: A task remembers the classes of so many other words at a time.
@@ -51,7 +60,7 @@ def split(text: str | None) -> list[bytes]:
 
 
 class Codes(dict):
-    """Word -> rank if its share is held, else -1 - its hashed class."""
+    """Word -> rank if its share is held, else -1 - the code of its hashed class."""
 
     def __missing__(self, word: bytes) -> int:
         code = -1 - _rare(word)
@@ -61,17 +70,17 @@ class Codes(dict):
 
 
 def _rare(word: bytes) -> int:
-    return _CLASSES - RARE + zlib.crc32(word) % RARE
+    return _KNOWN + zlib.crc32(word) % RARE
 
 
 @dataclass
 class Vocabulary:
     codes: Codes
-    #: log of a word's share of its class, by rank: 0 for words with a class of their own.
+    #: log of a word's share of its code, by rank: 0 for words with a code of their own.
     within: np.ndarray
-    #: by class, over the whole corpus
+    #: by code, over the whole corpus
     counts: np.ndarray
-    #: class by rank
+    #: code by rank
     classes: np.ndarray | None = None
     #: (word, n): the counts of all words
     table: DataFrame | None = None
@@ -104,7 +113,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """The most frequent words, of equally frequent ones the first in code-point order, and what the classes hold."""
     words = cut(count_words(docs, text_col))
-    frequent = words.orderBy(F.desc("n"), "word").limit(_CLASSES - RARE).collect()
+    frequent = words.orderBy(F.desc("n"), "word").limit(_KNOWN).collect()
     own = len(frequent)
     found = {r["word"]: r["n"] for r in frequent}
     levels = sorted(((r["n"], r["types"]) for r in words.groupBy("n").agg(F.count("*").alias("types")).collect()), reverse=True)
@@ -115,124 +124,206 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
         for w, k in zip(more.column("word").to_pylist(), more.column("n").to_pylist(), strict=True):
             found.setdefault(w, k)
     names, n = [w.encode() for w in found], np.array([*found.values()], float)
-    classes = np.array([*range(own), *map(_rare, names[own:])], np.int16)
-    counts = np.zeros(_CLASSES)
+    classes = np.array([*range(own), *map(_rare, names[own:])], np.uint16)
+    counts = np.zeros(_CODES)
     for r in words.groupBy((F.crc32(F.col("word").cast("binary")) % RARE).alias("k")).agg(F.sum("n").alias("n")).collect():
-        counts[_CLASSES - RARE + r["k"]] = r["n"]
+        counts[_KNOWN + r["k"]] = r["n"]
     for k in range(own):
         counts[_rare(names[k])] -= n[k]
         counts[k] = n[k]
     return Vocabulary(Codes(zip(names, range(len(names)), strict=True)), np.log(n / counts[classes]), counts, classes, words, len(levels) == 0 or len(names) == types[-1])
 
 
-_SHAPES = {"embed": (_CLASSES + 1, EMBEDDING), "w1": (2 * SIDE * EMBEDDING, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, HIDDEN, MEMBERS), "bm": (GROUPS, MEMBERS)}
-_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_SHAPES = {"w1": (2 * SIDE * EMBEDDING, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, HIDDEN, MEMBERS), "bm": (GROUPS, MEMBERS), "wp": (HIDDEN, LOW), "embed": (_CODES + 1, EMBEDDING), "tail": (CLUSTERS, LOW + 1, LEAVES)}
+_SIZES = {name: int(np.prod(shape)) for name, shape in _SHAPES.items()}
+_SIZE = sum(_SIZES.values())
+#: The weights that each step moves come first; of embed and tail it moves the rows that it meets.
+_DENSE = _SIZE - _SIZES["embed"] - _SIZES["tail"]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and the end of the last."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    return first, np.concatenate([first, [len(values)]])
 
 
 class Network:
     def __init__(self, flat: np.ndarray):
-        self.flat = flat.astype(np.float32)
+        """On these weights themselves, if they are 32-bit floats."""
+        self.flat = flat.astype(np.float32, copy=False)
         at = 0
         for name, shape in _SHAPES.items():
-            size = int(np.prod(shape))
-            setattr(self, name, self.flat[at : at + size].reshape(shape))
-            at += size
+            setattr(self, name, self.flat[at : at + _SIZES[name]].reshape(shape))
+            at += _SIZES[name]
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
-        """Small random weights, and biases by which each class is as likely as its count says."""
+        """Small random weights, and biases by which each word and hashed class is as likely as its count says."""
         out = cls(np.random.default_rng(7).normal(0, 0.1, _SIZE))
-        share = (counts + 0.5).reshape(GROUPS, MEMBERS)
+        counts = counts + 0.01
+        share = np.bincount(_CLASS_OF, counts, _CLASSES).reshape(GROUPS, MEMBERS)
         out.b1[:] = 0
         out.bg[:] = np.log(share.sum(1) / share.sum())
         out.bm[:] = np.log(share / share.sum(1, keepdims=True))
         out.wg[:] = 0
         out.wm[:] = 0
+        leaves = counts[OWN:_KNOWN].reshape(LEAVES, CLUSTERS).T
+        out.tail[:, :LOW] = 0
+        out.tail[:, LOW] = np.log(leaves / leaves.sum(1, keepdims=True))
         return out
 
     def hidden(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         around = np.stack([codes[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
         joined = self.embed.take(around, axis=0).reshape(len(at), -1)
-        return around, joined, np.tanh(joined @ self.w1 + self.b1)
+        h = joined @ self.w1
+        h += self.b1
+        return around, joined, np.tanh(h, out=h)
 
-    def members(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows by group, where each group ends in that order, and in that order the logits of the group's members and h."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
-        sorted_h, logits = h[order], self.bm[group[order]]
+    def members(self, h: np.ndarray, group: np.ndarray, ends: list[int]) -> np.ndarray:
+        """The logits of the members of each row's group; rows come in order of their groups, which end at these places."""
+        logits = self.bm[group]
         for g in range(GROUPS):
             if ends[g] < ends[g + 1]:
-                logits[ends[g] : ends[g + 1]] += sorted_h[ends[g] : ends[g + 1]] @ self.wm[g]
-        return order, ends, logits, sorted_h
+                logits[ends[g] : ends[g + 1]] += h[ends[g] : ends[g + 1]] @ self.wm[g]
+        return logits
+
+    def leaves(self, h: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Logits of the words of each row's cluster, from a short view of h with a 1 behind; rows come in order of their clusters."""
+        short = np.ones((len(h), LOW + 1), np.float32)
+        np.matmul(h, self.wp, out=short[:, :LOW])
+        first, ends = _runs(cluster)
+        kinds = cluster[first]
+        parts = list(zip(kinds.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        logits = np.empty((len(h), LEAVES), np.float32)
+        for c, a, b in parts:
+            np.dot(short[a:b], self.tail[c], out=logits[a:b])
+        return logits, short, kinds, parts
+
+    @staticmethod
+    def in_order(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], slice, np.ndarray]:
+        """Order of the places by class; the classes; ends of their groups; the rows of clusters; the leaf of each of these."""
+        kind = _CLASS_OF.take(codes[at])
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order].astype(np.int64)
+        ends = np.searchsorted(kind, np.arange(0, _CLASSES + 1, MEMBERS)).tolist()
+        a, b = np.searchsorted(kind, (OWN, OWN + CLUSTERS)).tolist()
+        leaf = (codes[at[order[a:b]]].astype(np.int64) - OWN) // CLUSTERS
+        return order, at[order], kind, ends, slice(a, b), leaf
 
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the classes at these places, each given its neighbours."""
+        """Of the codes at these places, each given its neighbours."""
+        order, at, kind, ends, tail, leaf = self.in_order(codes, at)
         _, _, h = self.hidden(codes, at)
-        group, member = np.divmod(codes[at], MEMBERS)
-        logits = h @ self.wg + self.bg
-        out = logits[np.arange(len(at)), group] - _log_total(logits)
-        order, ends, logits, _ = self.members(h, group)
-        out[order] += logits[np.arange(len(at)), member[order]] - _log_total(logits)
+        group, member = np.divmod(kind, MEMBERS)
+        logits = h @ self.wg
+        logits += self.bg
+        found = logits[np.arange(len(at)), group] - _log_total(logits)
+        logits = self.members(h, group, ends)
+        found += logits[np.arange(len(at)), member] - _log_total(logits)
+        if len(leaf):
+            logits = self.leaves(h[tail], kind[tail] - OWN)[0]
+            found[tail] += logits[np.arange(len(leaf)), leaf] - _log_total(logits)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def train(self, codes: np.ndarray, at: np.ndarray, memory: np.ndarray, rate: float = RATE) -> None:
-        """One step of Adagrad on the mean loss at these places."""
-        slope = np.zeros_like(self.flat)
-        s = Network.__new__(Network)
-        Network.__init__(s, slope)
-        n = np.float32(len(at))
+    def train(self, codes: np.ndarray, at: np.ndarray, memory: np.ndarray, rate: float = RATE, met: dict[str, np.ndarray] | None = None) -> None:
+        """One step of Adagrad on the mean loss at these places. met: counts how often each row of embed and of tail is met."""
+        _, at, kind, ends, tail, leaf = self.in_order(codes, at)
+        slope = np.zeros(_DENSE, np.float32)
+        s, place = {}, 0
+        for name, shape in _SHAPES.items():
+            if place < _DENSE:
+                s[name] = slope[place : place + _SIZES[name]].reshape(shape)
+                place += _SIZES[name]
+        past, n = Network(memory), np.float32(len(at))
         around, joined, h = self.hidden(codes, at)
-        group, member = np.divmod(codes[at], MEMBERS)
-        p = _softmax(h @ self.wg + self.bg)
+        group, member = np.divmod(kind, MEMBERS)
+        p = h @ self.wg
+        p += self.bg
+        p = _softmax(p)
         p[np.arange(len(at)), group] -= 1
         p /= n
-        s.wg[:], s.bg[:] = h.T @ p, p.sum(0)
+        s["wg"][:], s["bg"][:] = h.T @ p, p.sum(0)
         back = p @ self.wg.T
-        order, ends, logits, sorted_h = self.members(h, group)
-        p = _softmax(logits)
-        p[np.arange(len(at)), member[order]] -= 1
+        p = _softmax(self.members(h, group, ends))
+        p[np.arange(len(at)), member] -= 1
         p /= n
-        more = np.empty_like(sorted_h)
         for g in range(GROUPS):
             rows = slice(ends[g], ends[g + 1])
             if ends[g] < ends[g + 1]:
-                np.matmul(sorted_h[rows].T, p[rows], out=s.wm[g])
-                np.matmul(p[rows], self.wm[g].T, out=more[rows])
+                np.matmul(h[rows].T, p[rows], out=s["wm"][g])
+                back[rows] += p[rows] @ self.wm[g].T
         some = [g for g in range(GROUPS) if ends[g] < ends[g + 1]]
-        s.bm[some] = np.add.reduceat(p, [ends[g] for g in some])
-        back[order] += more
-        back *= 1 - h * h
-        s.w1[:], s.b1[:] = joined.T @ back, back.sum(0)
+        s["bm"][some] = np.add.reduceat(p, [ends[g] for g in some])
+        if len(leaf):
+            logits, short, clusters, parts = self.leaves(h[tail], kind[tail] - OWN)
+            p = _softmax(logits)
+            p[np.arange(len(leaf)), leaf] -= 1
+            p /= n
+            more, turned = np.empty_like(short), np.empty((len(clusters), LOW + 1, LEAVES), np.float32)
+            for k, (c, a, b) in enumerate(parts):
+                np.dot(short[a:b].T, p[a:b], out=turned[k])
+                np.dot(p[a:b], self.tail[c].T, out=more[a:b])
+            s["wp"][:] = h[tail].T @ more[:, :LOW]
+            back[tail] += more[:, :LOW] @ self.wp.T
+            _step(self.tail, past.tail, clusters, turned, rate)
+            if met is not None:
+                met["tail"][clusters] += [b - a for _, a, b in parts]
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        s["w1"][:], s["b1"][:] = joined.T @ back, back.sum(0)
         parts = (back @ self.w1.T).reshape(-1, EMBEDDING)
-        flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        kinds, first = np.unique(flat[order], return_index=True)
-        s.embed[kinds] = np.add.reduceat(parts[order], first)
-        slope = s.flat
+        around = around.ravel()
+        order = np.argsort(around, kind="stable")
+        first, ends = _runs(around[order])
+        kinds, number = around[order[first]], np.empty(len(around), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(ends))
+        turned = np.stack([np.bincount(number, parts[:, k], len(first)) for k in range(EMBEDDING)], 1).astype(np.float32)
+        _step(self.embed, past.embed, kinds, turned, rate)
+        if met is not None:
+            met["embed"][kinds] += np.diff(ends)
         root = slope * slope
-        memory += root
-        np.sqrt(memory, out=root)
+        memory[:_DENSE] += root
+        np.sqrt(memory[:_DENSE], out=root)
         root += np.float32(1e-6)
         slope *= np.float32(rate)
         slope /= root
-        self.flat -= slope
+        self.flat[:_DENSE] -= slope
+
 
+def _step(weights: np.ndarray, past: np.ndarray, rows: np.ndarray, slope: np.ndarray, rate: float) -> None:
+    """Adagrad on some rows."""
+    root = slope * slope
+    root += past[rows]
+    past[rows] = root
+    np.sqrt(root, out=root)
+    root += np.float32(1e-6)
+    slope *= np.float32(rate)
+    slope /= root
+    weights[rows] -= slope
 
-_ONES = {n: np.ones(n, np.float32) for n in (GROUPS, MEMBERS)}
+
+_ONES = {n: np.ones(n, np.float32) for n in (GROUPS, MEMBERS, LEAVES)}
 
 
 def _log_total(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exp by row. Logits are of moderate size (tanh times weights), so no maximum is taken off; the limits only guard."""
-    return np.log(np.maximum(np.exp(np.minimum(logits, 60)) @ _ONES[logits.shape[1]], np.float32(1e-30)))
+    """log of the sum of exp by row; logits are used up. They are of moderate size (tanh times weights), so no maximum is taken off; the limits only guard."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    return np.log(np.maximum(logits @ _ONES[logits.shape[1]], np.float32(1e-30)))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(np.minimum(logits, 60))
-    return out / np.maximum(out @ _ONES[logits.shape[1]], np.float32(1e-30))[:, None]
+    """In place of the logits."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    logits *= (1 / np.maximum(logits @ _ONES[logits.shape[1]], np.float32(1e-30)))[:, None]
+    return logits
 
 
 def coded(docs: DataFrame, words: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, codes BINARY, held, others): the classes of each text's words, two bytes each; the sum of the log shares that are held, and the words, with their numbers, whose shares aren't.
+    """(row, doc_id, codes BINARY, held, others): the codes of each text's words, two bytes each; the sum of the log shares that are held, and the words, with their numbers, whose shares aren't.
 
     Null texts have no words. Rows are numbered apart.
     """
@@ -247,7 +338,7 @@ def coded(docs: DataFrame, words: Vocabulary, *, id_col: str = "doc_id", text_co
                 run = split(text.as_py())
                 found = np.fromiter(map(code, run), np.int32, len(run))
                 known = found >= 0
-                out = (-1 - found).astype(np.int16)
+                out = (-1 - found).astype(np.uint16)
                 out[known] = classes[found[known]]
                 made.append(out.tobytes())
                 held.append(float(within[found[known]].sum()))
@@ -259,8 +350,8 @@ def coded(docs: DataFrame, words: Vocabulary, *, id_col: str = "doc_id", text_co
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some texts at a time: classes with padding around each text, places of the words, (number of words, words before) of each text."""
-    texts = [np.frombuffer(x.as_py(), np.int16) for x in column]
+    """Of some texts at a time: codes with padding around each text, places of the words, (number of words, words before) of each text."""
+    texts = [np.frombuffer(x.as_py(), np.uint16) for x in column]
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -269,7 +360,7 @@ def _portions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             to += 1
         sizes = np.array([len(x) for x in texts[at:to]], np.int64)
         places = np.arange(size) + np.repeat(SIDE * np.arange(1, len(sizes) + 1), sizes)
-        codes = np.full(size + SIDE * (len(sizes) + 1), _PAD, np.int16)
+        codes = np.full(size + SIDE * (len(sizes) + 1), _PAD, np.uint16)
         codes[places] = np.concatenate(texts[at:to])
         yield codes, places, np.stack([sizes, np.cumsum(sizes) - sizes], 1)
         at = to
@@ -285,11 +376,47 @@ def dealt(codes: np.ndarray, places: np.ndarray, sizes: np.ndarray, passes: tupl
     return np.searchsorted(np.cumsum(passes), (number >> np.uint64(40)).astype(np.int64) % sum(passes), "right")
 
 
+#: Rows of a table of weights that travel together: of the dense weights, of embed, of tail.
+_BLOCK_ROWS = {"dense": 1, "embed": 2048, "tail": 64}
+
+
+def _tables(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights as tables of rows that are averaged by themselves."""
+    whole = Network(flat)
+    return {"dense": whole.flat[None, :_DENSE], "embed": whole.embed, "tail": whole.tail.reshape(CLUSTERS, -1)}
+
+
+_MOVED = "name string, block int, rows binary, weight binary, value binary"
+
+
+def _moved(name: str, block: int, rows: np.ndarray, weight: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([name]), pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), weight.astype(float), value.astype(np.float32)))]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _MOVED.split(", ")])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks of several networks: each row's mean by its weights. A block is summed as it comes, so no task holds many networks."""
+    sums: dict[tuple[str, int], dict[int, np.ndarray]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            rows, weight = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weight"])
+            value = np.frombuffer(r["value"], np.float32).reshape(len(rows), -1)
+            size = _BLOCK_ROWS[r["name"]]
+            if (r["name"], r["block"]) not in sums:
+                sums[r["name"], r["block"]] = np.zeros((size, value.shape[1] + 1))
+            total, at = sums[r["name"], r["block"]], rows - r["block"] * size
+            total[at, :-1] += value * weight[:, None]
+            total[at, -1] += weight
+    for (name, block), total in sums.items():
+        there = np.flatnonzero(total[:, -1])
+        yield _moved(name, block, there + block * _BLOCK_ROWS[name], total[there, -1], total[there, :-1] / total[there, -1:])
+
+
 def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES) -> Network:
     """Pass over all coded texts, with the share of the positions that each entry of `passes` says, and average the tasks' networks after each pass.
 
-    What comes back is one network, whatever the number of tasks: theirs are
-    summed parameter by parameter in Spark.
+    What comes back is one network, whatever the number of tasks: blocks of
+    their weights are averaged in Spark, each row by how often a task met it.
     """
     context = texts.sparkSession.sparkContext
     network = Network.start(words.counts)
@@ -299,6 +426,7 @@ def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES)
         def part(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
             keep_heap()
             own, memory, seen = Network(shared.value.copy()), np.full(_SIZE, 1e-4 * (step + 1), np.float32), 0
+            met = {"embed": np.zeros(_CODES + 1), "tail": np.zeros(CLUSTERS)}
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
 
@@ -312,7 +440,7 @@ def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES)
                 all_codes, at = np.concatenate(codes), np.concatenate(places)
                 at = np.random.default_rng(len(at)).permutation(at)
                 for k in range(0, len(at), BATCH):
-                    own.train(all_codes, at[k : k + BATCH], memory)
+                    own.train(all_codes, at[k : k + BATCH], memory, met=met)
 
             for batch in batches:
                 for codes, places, sizes in _portions(batch.column(0)):
@@ -327,16 +455,21 @@ def train(texts: DataFrame, words: Vocabulary, passes: tuple[int, ...] = PASSES)
             if held:
                 learn()
             if seen:
-                for at in range(0, _SIZE, 8192):
-                    piece = own.flat[at : at + 8192].astype(float) * seen
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(piece), dtype=np.int32)), pa.array(piece), pa.array(np.full(len(piece), seen, np.int64))], ["at", "value", "seen"])
-
-        sums = texts.select("codes").mapInArrow(part, "at int, value double, seen bigint").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
-        found = sums.toArrow()
-        if found.num_rows:
-            flat = network.flat.astype(float)
-            flat[found.column("at").to_numpy()] = found.column("value").to_numpy() / found.column("seen").to_numpy()
-            network = Network(flat)
+                met["dense"] = np.full(1, float(seen))
+                for name, table in _tables(own.flat).items():
+                    size = _BLOCK_ROWS[name]
+                    for at in range(0, len(table), size):
+                        rows = at + np.flatnonzero(met[name][at : at + size])
+                        if len(rows):
+                            yield _moved(name, at // size, rows, met[name][rows], table[rows])
+
+        found = texts.select("codes").mapInArrow(part, _MOVED).repartition("name", "block").mapInArrow(_averaged, _MOVED).toArrow()
+        flat = network.flat.copy()
+        tables = _tables(flat)
+        for r in found.to_pylist():
+            rows = np.frombuffer(r["rows"], np.int32)
+            tables[r["name"]][rows] = np.frombuffer(r["value"], np.float32).reshape(len(rows), -1)
+        network = Network(flat)
         shared.unpersist()
     return network
 
@@ -363,7 +496,7 @@ def scores(texts: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
 def with_shares(found: DataFrame, texts: DataFrame, words: Vocabulary) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood): the shares of all other words are joined from the table of counts and added."""
     if not words.whole:
-        totals = F.array([F.lit(float(x)) for x in words.counts[_CLASSES - RARE :]])
+        totals = F.array([F.lit(float(x)) for x in words.counts[_KNOWN:]])
         share = F.log(F.col("n") / F.element_at(totals, (F.crc32(F.col("word").cast("binary")) % RARE + 1).cast("int")))
         other = texts.select("row", F.explode("others").alias("word", "k")).join(words.table.select("word", share.alias("share")), "word")
         sums = other.groupBy("row").agg(F.sum(F.col("k") * F.col("share")).alias("more"))
