@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from substrata.sources.work import cut, remove, shared_dir, work_path
+
+__all__ = ["cut", "draw", "id_text", "keep_heap", "remove", "shared_dir", "small", "sql_draw", "table", "union_all", "work_path"]
+
 #: Draws use so many leading hexadecimal digits of an MD5 digest: 52 bits fit a double exactly.
 DRAW_DIGITS = 13
 
@@ -18,42 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it.
-
-    Only where spark.checkpoint.dir is unset and all runs on one machine, a
-    temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = context._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
-    if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not path:
-        path = tempfile.mkdtemp(prefix="substrata-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
-    return path
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now and keep in the shared folder, so that no later step repeats the work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def draw(*parts: Column | str) -> Column:
     """A number in (0, 1) that depends on the parts alone: every engine with MD5 gets the same one."""
     text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p for p in parts])

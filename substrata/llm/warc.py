@@ -125,7 +125,10 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     Of rows with equal payloads of min_bytes or more, the one with the largest
     id keeps the payload as a response and the others are revisits that refer
     to it; rows that share the largest id are all responses. Rows whose
-    payload has no id at all are responses. Null payloads are empty.
+    payload has no id at all are responses. Null payloads are empty, null URLs
+    leave the field out. Repeated rows have a record each. Payloads of any
+    length are written in chunks of chunk_bytes. Other columns are left out.
+    Empty table: no files.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
