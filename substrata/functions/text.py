@@ -69,6 +69,13 @@ def parts(s: Column | str, n: int) -> Column:
     return F.array(*[F.substring(s, F.lit(i) * size + F.least(F.lit(i), rest) + 1, size + F.when(F.lit(i) < rest, 1).otherwise(0)) for i in range(n)])
 
 
+def gram_bound(q: Column | str, s: Column | str, gram: int) -> Column:
+    """At most the substring edit distance: an edit touches one of the disjoint q-grams of q at most, so each that s lacks costs one."""
+    q, s = _c(q), _c(s)
+    places = between(F.lit(0), F.floor(F.length(q) / gram).cast("int") - 1)
+    return F.size(F.filter(places, lambda k: ~F.contains(s, F.substring(q, k * gram + 1, F.lit(gram)))))
+
+
 def sed_within(q: Column | str, s: Column | str, delta: int, banded: bool = False) -> Column:
     """Substring edit distance if it is at most delta, else something above delta.
 

@@ -73,9 +73,11 @@ def _by_kernel(name: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
     return strategy
 
 
-def _counted(pairs: DataFrame, delta: int, banded: bool = False) -> DataFrame:
-    """Verify candidate pairs (q, s, w), the cheap test of lengths first."""
+def _counted(pairs: DataFrame, delta: int, banded: bool = False, gram: int | None = None) -> DataFrame:
+    """Verify candidate pairs (q, s, w), the cheap test of lengths first. gram: and the bound that missing q-grams set."""
     able = pairs.where(F.length("q") - F.length("s") <= delta)
+    if gram:
+        able = able.where(T.gram_bound("q", "s", gram) <= delta)
     near = able.withColumn("d", T.sed_within("q", "s", delta, banded)).where(F.col("d") <= delta)
     return near.groupBy("q", "d").agg(F.sum("w").alias("n"))
 
@@ -108,16 +110,31 @@ def partition_candidates(queries: DataFrame, strings: DataFrame, delta: int) ->
     return found.unionByName(_sent(queries.where(F.length("q") <= delta)).crossJoin(strings).select("q", "s", "w"))
 
 
+def best_grams(costs: Column, n: int, gram: int) -> Column:
+    """ARRAY<INT>: the places, from 0, of n disjoint q-grams of the least cost together; of equal ones the first places. costs: of each place.
+
+    Dynamic programming over places: a row has the best choice of 0..n grams
+    among the places so far, and a gram goes with the row `gram` places back.
+    """
+    choice = lambda cost, places: F.struct(cost.cast("double").alias("cost"), places.alias("places"))
+    start = F.array(*[choice(F.lit(0.0 if t == 0 else float("inf")), F.array().cast("array<int>")) for t in range(n + 1)])
+
+    def step(rows: Column, at: Column) -> Column:
+        last, back = rows[0], rows[gram - 1]
+        new = [last[0]] + [F.least(last[t], choice(back[t - 1]["cost"] + costs[at], F.concat(back[t - 1]["places"], F.array(at)))) for t in range(1, n + 1)]
+        return F.slice(F.concat(F.array(F.array(*new)), rows), 1, gram)
+
+    return F.aggregate(T.between(F.lit(0), F.size(costs) - 1), F.array(*[start] * gram), step)[0][n]["places"]
+
+
 def gram_candidates(queries: DataFrame, strings: DataFrame, delta: int, gram: int = GRAM) -> DataFrame:
-    """(q, s, w): pairs that share one of delta + 1 disjoint q-grams, the run of them that fewest strings hold."""
+    """(q, s, w): pairs that share one of delta + 1 disjoint q-grams, those that fewest strings hold."""
     index = strings.select(*_key(), F.explode(F.array_distinct(T.qgrams("s", gram))).alias("gram"))
     frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
     need = (delta + 1) * gram
-    starts = queries.where(F.length("q") >= need).select("q", F.explode(T.between(F.lit(1), F.length("q") - (need - 1))).alias("start"))
-    runs = starts.select("q", "start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(delta)), lambda k: F.substring("q", F.col("start") + k * gram, F.lit(gram)))).alias("gram"))
-    costs = runs.join(frequency, "gram", "left").groupBy("q", "start").agg(F.sum(F.coalesce("df", F.lit(0))).alias("cost"))
-    best = costs.groupBy("q").agg(F.min(F.struct("cost", "start"))["start"].alias("start"))
-    chosen = runs.join(best, ["q", "start"]).select("q", "gram").distinct()
+    places = queries.where(F.length("q") >= need).select("q", F.posexplode(T.qgrams("q", gram)).alias("place", "gram"))
+    known = places.join(frequency, "gram", "left").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("grams"))  # as many as the query is long
+    chosen = known.select("q", F.explode(F.transform(best_grams(F.col("grams.df"), delta + 1, gram), lambda k: F.col("grams")[k]["gram"])).alias("gram")).distinct()
     found = _with_strings(index.join(chosen, "gram").select("q", "k1", "k2").distinct(), strings)
     return found.unionByName(_sent(queries.where(F.length("q") < need)).crossJoin(strings).select("q", "s", "w"))
 
@@ -126,8 +143,10 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
     "naive": _nested(False),
     "banded": _nested(True),
     "partition": lambda q, s, d: _counted(partition_candidates(q, s, d), d),
-    "qgram": lambda q, s, d: _counted(gram_candidates(q, s, d), d),
+    "qgram": lambda q, s, d: _counted(gram_candidates(q, s, d), d, gram=GRAM),
+    "interval": _by_kernel("interval"),
     "sorted": _by_kernel("sorted"),
+    "sorted_pruned": _by_kernel("sorted_pruned"),
     "trie": _by_kernel("trie"),
     "block": _by_kernel("block"),
 }
@@ -249,10 +268,12 @@ def measured(queries: DataFrame, strings: DataFrame, delta: int) -> DataFrame:
     shared = strings.sparkSession.sparkContext.broadcast(sorted(r["q"] for r in q.collect()))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {name: np.zeros(2, np.int64) for name in ("sorted", "trie")}
+        found = {name: np.zeros(2, np.int64) for name in ("sorted", "sorted_pruned", "trie")}
         for batch in batches:
-            for name, sums in found.items():
-                kernels.shared_prefix(shared.value, batch.column("s").to_pylist(), batch.column("w").to_numpy(), delta, prune=name == "trie", work=sums)
+            rows = shared.value, batch.column("s").to_pylist(), batch.column("w").to_numpy(), delta
+            kernels.shared_prefix(*rows, prune=False, work=found["sorted"])
+            kernels.shared_prefix(*rows, work=found["sorted_pruned"])
+            kernels.live_cells(*rows, work=found["trie"])
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))], ["strategy", "line", "cell"])
 
     sums = s.mapInArrow(part, "strategy string, line bigint, cell bigint").groupBy("strategy").agg(F.sum("line").alias("computed_line"), F.sum("cell").alias("computed_cell"))

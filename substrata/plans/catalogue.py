@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 DELTA = 2
 COEFFICIENTS = S.hash_coefficients(10)
-STRATEGIES = ("naive", "banded", "partition", "qgram", "sorted", "trie", "block")
+STRATEGIES = ("naive", "banded", "partition", "qgram", "interval", "sorted", "sorted_pruned", "trie", "block")
 _WILD = "chr(57344)"
 
 
@@ -154,6 +154,29 @@ _FILTERS = """q AS (SELECT DISTINCT p_name AS q FROM part), s AS (SELECT p_name
     p AS (SELECT q, k, substr(q, k * (length(q) // 3) + least(k, length(q) % 3) + 1, length(q) // 3 + CASE WHEN k < length(q) % 3 THEN 1 ELSE 0 END) AS part FROM (SELECT q, unnest(range(0, 3)) AS k FROM q))"""
 
 
+#: Three disjoint 2-grams of each query that fewest strings hold.
+_BEST_GRAMS = """r AS (SELECT q, spot, substr(q, spot::INTEGER, 2) AS gram FROM (SELECT q, unnest(range(1, length(q))) AS spot FROM q WHERE length(q) >= 6)),
+    f AS (SELECT gram, count(*) AS df FROM (SELECT DISTINCT gram FROM r) JOIN s ON contains(s, gram) GROUP BY 1),
+    x AS (SELECT r.*, coalesce(df, 0) AS df FROM r LEFT JOIN f ON r.gram = f.gram),
+    b AS (SELECT q, unnest(min({'cost': i.df + j.df + k.df, 'a': i.spot, 'b': j.spot, 'c': k.spot})) FROM x i JOIN x j USING (q) JOIN x k USING (q) WHERE i.spot + 2 <= j.spot AND j.spot + 2 <= k.spot GROUP BY q)"""
+
+
+@query(f"WITH {_FILTERS}, {_BEST_GRAMS} SELECT b.q, string_agg(x.gram, ' ' ORDER BY x.spot) AS grams, any_value(cost)::BIGINT AS cost FROM b JOIN x ON x.q = b.q AND x.spot IN (b.a, b.b, b.c) GROUP BY 1")
+def best_disjoint_grams(spark: SparkSession, d: str) -> DataFrame:
+    grams = _queries(spark, d).where("length(q) >= 6").select("q", F.posexplode(T.qgrams("q", 2)).alias("place", "gram"))
+    df = count.collapsed(_names(spark, d)).select(F.explode(F.array_distinct(T.qgrams("s", 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    rows = grams.join(df, "gram").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("place", "df", "gram"))).alias("g")).withColumn("best", count.best_grams(F.col("g.df"), DELTA + 1, 2))
+    chosen = F.transform("best", lambda k: F.col("g")[k])
+    return rows.select("q", F.array_join(chosen["gram"], " ").alias("grams"), F.aggregate(chosen["df"], F.lit(0).cast("long"), lambda a, x: a + x).alias("cost"))
+
+
+@query(f"WITH {_FILTERS} SELECT q, s, sum(CASE WHEN contains(s, substr(q, (2 * k + 1)::INTEGER, 2)) THEN 0 ELSE 1 END)::INTEGER AS bound FROM (SELECT q, unnest(range(0, length(q) // 2)) AS k FROM q), s GROUP BY 1, 2")
+def gram_lower_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """What the 2-grams that a string lacks say of its distance, before any is computed."""
+    q, s = _queries(spark, d), count.collapsed(_names(spark, d)).select("s")
+    return F.broadcast(q).crossJoin(s).select("q", "s", T.gram_bound("q", "s", 2).alias("bound"))
+
+
 @query(f"WITH {_FILTERS} SELECT q, k::INTEGER AS k, part FROM p")
 def pigeonhole_parts(spark: SparkSession, d: str) -> DataFrame:
     return _queries(spark, d).select("q", F.posexplode(T.parts("q", DELTA + 1)).alias("k", "part"))
@@ -171,10 +194,8 @@ def work_statistics(spark: SparkSession, d: str) -> DataFrame:
     return count.work(_queries(spark, d), _names(spark, d))
 
 
-@query(f"""WITH {_FILTERS}, r AS (SELECT q, start, substr(q, (start + 2 * k)::INTEGER, 2) AS gram FROM (SELECT q, unnest(range(1, length(q) - 4)) AS start FROM q WHERE length(q) >= 6), (SELECT unnest(range(3)) AS k)),
-    f AS (SELECT gram, count(*) AS df FROM (SELECT DISTINCT gram FROM r) JOIN s ON contains(s, gram) GROUP BY 1),
-    b AS (SELECT q, min({{'cost': cost, 'start': start}}).start AS start FROM (SELECT q, start, sum(coalesce(df, 0)) AS cost FROM r LEFT JOIN f ON r.gram = f.gram GROUP BY 1, 2) GROUP BY 1),
-    c AS (SELECT DISTINCT 'partition' AS filter, q, s, w FROM p, s WHERE contains(s, part) UNION ALL (SELECT DISTINCT 'qgram', r.q, s, w FROM r JOIN b ON r.q = b.q AND r.start = b.start JOIN s ON contains(s, gram)) UNION ALL SELECT 'qgram', q, s, w FROM q, s WHERE length(q) < 6)
+@query(f"""WITH {_FILTERS}, {_BEST_GRAMS},
+    c AS (SELECT DISTINCT 'partition' AS filter, q, s, w FROM p, s WHERE contains(s, part) UNION ALL (SELECT DISTINCT 'qgram', r.q, s, w FROM r JOIN b ON r.q = b.q AND r.spot IN (b.a, b.b, b.c) JOIN s ON contains(s, gram)) UNION ALL SELECT 'qgram', q, s, w FROM q, s WHERE length(q) < 6)
     SELECT filter, sum(w)::BIGINT AS pairs, count(*) AS distinct_pairs FROM c GROUP BY 1""")
 def filter_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a query and a row that each filter leaves to verify."""

@@ -196,8 +196,81 @@ def shared_prefix(queries: list[str], strings: list[str], weights: np.ndarray, d
     return out
 
 
+def _least(spots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct spots, ascending, with the least value of each."""
+    order = np.argsort(spots, kind="stable")
+    spots, values = spots[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], spots[1:] != spots[:-1]])) if len(spots) else np.zeros(0, int)
+    return spots[first], np.minimum.reduceat(values, first) if len(first) else values
+
+
+def _next_cells(spots: np.ndarray, values: np.ndarray, code: int, text: np.ndarray, delta: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the next row of the distance tables that are within delta, from those of the row before."""
+    here = text[spots]
+    inside = here != _END
+    down, beside = values + 1, (values + (here != code))[inside]
+    spots, values = _least(np.concatenate([spots[down <= delta], (spots[inside] + 1)[beside <= delta]]), np.concatenate([down[down <= delta], beside[beside <= delta]]))
+    for _ in range(delta):  # insertions after insertions
+        more = (values < delta) & (text[spots] != _END)
+        if not more.any():
+            break
+        spots, values = _least(np.concatenate([spots, spots[more] + 1]), np.concatenate([values, values[more] + 1]))
+    return spots, values
+
+
+#: Stands behind the last character of each string.
+_END = np.uint32(0xFFFFFFFF)
+
+
+def live_cells(queries: list[str], strings: list[str], weights: np.ndarray, delta: int, *, share: bool = True, work: np.ndarray | None = None) -> np.ndarray:
+    """The same histogram from the cells of the distance tables that are within delta and no others.
+
+    A row holds the columns of all strings that can still lead to a distance
+    within delta, so columns drop out one by one, a string with its last
+    column, and a subtree of the queries' prefixes with its last string.
+    share: queries with a common prefix share its rows. work: gets the lines
+    and the cells that were looked at.
+    """
+    out = np.zeros((len(queries), delta + 1), np.int64)
+    if not strings:
+        return out
+    weights = np.asarray(weights)
+    order = sorted(range(len(queries)), key=lambda k: queries[k])
+    codes = encode(strings)
+    for members in _blocks(codes, 1 << 14, CELLS // 4):
+        sizes = np.array([len(codes[k]) for k in members])
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        text = np.full(starts[-1], _END, np.uint32)
+        for m, k in enumerate(members):
+            text[starts[m] : starts[m] + sizes[m]] = codes[k]
+        owner = np.repeat(np.arange(len(members)), sizes + 1)
+        w = weights[members]
+        stack = [(np.arange(starts[-1]), np.zeros(starts[-1], np.int8))]
+        before = ""
+        for k in order:
+            q, same = queries[k], 0
+            while share and same < min(len(q), len(before), len(stack) - 1) and q[same] == before[same]:
+                same += 1
+            del stack[same + 1 :]
+            for x in q[same:]:
+                spots, values = stack[-1]
+                if len(spots):
+                    if work is not None:
+                        work += (w[np.unique(owner[spots])].sum(), w[owner[spots]].sum())
+                    spots, values = _next_cells(spots, values, ord(x), text, delta)
+                stack.append((spots, values))
+            before = q
+            spots, values = stack[-1]
+            if len(spots):
+                found, best = _least(owner[spots], values)
+                out[k] += np.bincount(best, w[found], delta + 1).astype(np.int64)[: delta + 1]
+    return out
+
+
 KERNELS = {
     "block": bit_parallel,
-    "trie": shared_prefix,
+    "trie": live_cells,
+    "interval": lambda q, s, w, d: live_cells(q, s, w, d, share=False),
     "sorted": lambda q, s, w, d: shared_prefix(q, s, w, d, prune=False),
+    "sorted_pruned": shared_prefix,
 }
