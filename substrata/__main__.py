@@ -29,7 +29,8 @@ def parser() -> argparse.ArgumentParser:
     e = commands.add_parser("estimate", help="fit estimators to a long count table and judge them on held-out queries")
     e.add_argument("counts")
     e.add_argument("--strings", type=int, required=True, help="how many strings were counted")
-    e.add_argument("--model", nargs="+", default=["boosted"], choices=list(models.ESTIMATORS))
+    e.add_argument("--model", nargs="+", default=["boosted"], choices=[*models.ESTIMATORS, "patterns"])
+    e.add_argument("--strings-file", help="the strings that were counted, which the model patterns needs")
     e.add_argument("--p-test", type=float, default=0.1)
     e.add_argument("--p-valid", type=float, default=0.1)
     e.add_argument("--seed", default="0")
@@ -54,8 +55,9 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
         if not 0 < a.p_test + a.p_valid < 1:
             raise SystemExit("the test and validation shares are above 0 and leave something to train on")
         truth = files.counts_long(spark, a.counts).withColumnRenamed("word", "q")
+        rows = files.strings(spark, a.strings_file).select(F.monotonically_increasing_id().alias("rid"), "s") if a.strings_file else None
         for name in a.model:
-            found = models.evaluate(name, truth, a.strings, p_test=a.p_test, p_valid=a.p_valid, seed=a.seed).persist()
+            found = models.evaluate(name, truth, a.strings, p_test=a.p_test, p_valid=a.p_valid, seed=a.seed, strings=rows).persist()
             found.write.mode("overwrite").parquet(f"{a.out}/{name}/estimates")
             metrics.crosstab(found.withColumn("len", F.length("q"))).write.mode("overwrite").parquet(f"{a.out}/{name}/crosstab")
             levels = {f"{r.level:g}": r.value for r in metrics.quantiles(found).collect()}

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from substrata.functions import text as T
-from substrata.operators import metrics, sampling
+from substrata.operators import lbs, metrics, sampling
 from substrata.plans.autodiff import Node, Parameters, joined
+from substrata.sources.work import cut
 
 MOST_ROWS = 200_000
 EPOCHS, PATIENCE, BATCH = 30, 6, 256
@@ -68,6 +69,30 @@ class Boosted(Estimator):
         return found.groupBy("q", F.col("of").alias("delta")).agg(F.max(value).alias("estimate"))
 
 
+class PatternStatistics(Estimator):
+    """Wildcard n-gram statistics of the strings themselves; what it learns from counts is its coverage.
+
+    strings: (rid, s). The table of n-grams is built once, at the first fit.
+    """
+
+    def __init__(self, n: int, strings: DataFrame, ngram: int = lbs.NGRAM, least: int = lbs.LEAST, hashes: int = lbs.HASHES):
+        super().__init__(n)
+        self.strings, self.ngram, self.least, self.hashes = strings, ngram, least, hashes
+        self.table: DataFrame | None = None
+        self.coverage = 1.0
+
+    def fit(self, train: DataFrame, valid: DataFrame) -> PatternStatistics:
+        if self.table is None:
+            self.table = cut(lbs.build(self.strings, self.ngram, self.least, self.hashes))
+        self.coverage = lbs.coverage(train.unionByName(valid), self.table, n=self.ngram, hashes=self.hashes)
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        found = lbs.estimate(rows.select("q", "delta").distinct(), self.table, self.coverage, self.ngram, self.hashes)
+        kept = F.least(F.col("estimate"), F.lit(float(self.n)))
+        return rows.select("q", "delta").join(found.select("q", "delta", kept.alias("estimate")), ["q", "delta"])
+
+
 class Neural(Estimator):
     """A network over encoded strings; subclasses say which.
 
@@ -268,14 +293,19 @@ class Embedded(Neural):
 ESTIMATORS: dict[str, type[Estimator]] = {"boosted": Boosted, "sequence": Sequence, "monotone": Monotone, "embedded": Embedded}
 
 
-def evaluate(name: str, truth: DataFrame, n: int, *, p_test: float = 0.1, p_valid: float = 0.1, seed: str = "0") -> DataFrame:
-    """Fit to the training split of the queries in (q, delta, card) and estimate the test split: (q, delta, card, estimate, q_err, q_err_eps, log10_err, msle)."""
-    if name not in ESTIMATORS:
-        raise ValueError(f"no estimator {name!r}; there are {', '.join(ESTIMATORS)}")
+def evaluate(name: str, truth: DataFrame, n: int, *, p_test: float = 0.1, p_valid: float = 0.1, seed: str = "0", strings: DataFrame | None = None) -> DataFrame:
+    """Fit to the training split of the queries in (q, delta, card) and estimate the test split: (q, delta, card, estimate, q_err, q_err_eps, log10_err, msle).
+
+    strings: (rid, s), which the estimator "patterns" needs.
+    """
+    if name not in ESTIMATORS and name != "patterns":
+        raise ValueError(f"no estimator {name!r}; there are {', '.join([*ESTIMATORS, 'patterns'])}")
+    if name == "patterns" and strings is None:
+        raise ValueError("the estimator 'patterns' needs the strings")
     split = sampling.three_way(truth.select("q").distinct(), p_test=p_test, p_valid=p_valid, seed=seed)
     rows = truth.select("q", "delta", "card").join(split, "q").persist()
     part = lambda s: rows.where(F.col("split") == s).select("q", "delta", "card")
-    model, test = ESTIMATORS[name](n), part("test")
+    model, test = PatternStatistics(n, strings) if name == "patterns" else ESTIMATORS[name](n), part("test")
     if isinstance(model, Neural):  # queries and thresholds to come may be larger than those of the training split
         most = rows.agg(F.max(F.length("q")).alias("length"), F.max("delta").alias("delta")).first()
         model.width, model.most_delta = most.length or 1, most.delta or 0

@@ -669,11 +669,11 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 def _judged(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         """Fitted to the training split of all prefixes, judged on the test split."""
-        found = models.evaluate(name, _truth(spark, d), _names(spark, d).count())
+        found = models.evaluate(name, _truth(spark, d), _names(spark, d).count(), strings=_rows(spark, d))
         return found.groupBy("delta").agg(F.count("*").alias("n"), F.avg("q_err").alias("q_err"), F.avg("q_err_eps").alias("q_err_eps"))
 
     return run
 
 
-for _name in models.ESTIMATORS:
+for _name in [*models.ESTIMATORS, "patterns"]:
     query(None, f"estimator_{_name}")(_judged(_name))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from substrata.functions import sql
 from substrata.functions import stats as S
 from substrata.functions import text as T
 from substrata.operators import count, index, job, lbs, metrics, runs, sampling, summary
@@ -159,6 +160,16 @@ def measured_work(spark: SparkSession, d: str) -> DataFrame:
     return count.measured(_queries(spark, d), _names(spark, d), 1).select("strategy", "total_line", "computed_line", "pruned_line")
 
 
+@query(f"WITH {_PART} SELECT word AS q, card AS n FROM c WHERE delta = 1 AND word IN (SELECT p_name FROM part WHERE p_partkey <= 40)")
+def distance_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Counts within one edit by the SQL function alone."""
+    sql.register(spark)
+    s = count.collapsed(_names(spark, d))
+    q = _rows(spark, d).where("rid <= 40").select(F.col("s").alias("q")).distinct()
+    near = F.broadcast(q).crossJoin(s).where(F.expr("sed_within(q, s, 1)"))
+    return near.groupBy("q").agg(F.sum("w").alias("n"))
+
+
 # --- labels and lookups ---------------------------------------------------------------------------
 
 

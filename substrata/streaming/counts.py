@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from substrata.plans.kernels import bit_parallel
+from substrata.sources.work import remove, work_path
 
 
 def streaming_histogram(stream: DataFrame, queries: list[str], delta: int, string_col: str = "s") -> DataFrame:
@@ -33,10 +34,18 @@ def streaming_histogram(stream: DataFrame, queries: list[str], delta: int, strin
 
 
 def run_to_end(streaming: DataFrame, name: str) -> DataFrame:
-    """Run over what is there now and return the result table."""
-    query = streaming.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run over what is there now and return the result table, which executors write to the work folder batch by batch, the last one for good."""
+    spark, path, batches = streaming.sparkSession, work_path(streaming.sparkSession, name), []
+
+    def keep(result: DataFrame, number: int) -> None:
+        result.write.parquet(f"{path}/{number}")
+        batches.append(number)
+        if len(batches) > 1:
+            remove(spark, f"{path}/{batches[-2]}")
+
+    query = streaming.writeStream.outputMode("complete").option("checkpointLocation", work_path(spark, f"{name}-state")).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return streaming.sparkSession.table(name)
+    return spark.read.schema(streaming.schema).parquet(f"{path}/{batches[-1]}") if batches else spark.createDataFrame([], streaming.schema)
 
 
 def event_windows(stream: DataFrame, ts: str = "ts", key: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -102,6 +102,49 @@ def test_estimators_beat_a_constant(spark, data, name):
     assert ordered.apply(lambda e: (np.diff(e) >= -1e-9).all()).all()
 
 
+def test_patterns_as_an_estimator(spark, data):
+    """It is nearer than a constant, holds to the range, and says what it lacks."""
+    rows = spark.read.parquet(f"{data}/part.parquet").selectExpr("p_partkey AS rid", "p_name AS s")
+    prefixes = count.distinct_queries(rows.selectExpr("s AS q"), prefix_aug=True).where("length(q) <= 8")
+    truth = count.approx_substring_count(prefixes, rows, 1).withColumnRenamed("word", "q")
+    model = models.PatternStatistics(rows.count(), rows, ngram=4, least=1).fit(truth, truth.limit(0))
+    both = truth.toPandas().merge(model.transform(truth.select("q", "delta")).toPandas(), on=["q", "delta"])
+    assert len(both) == truth.count() and both.estimate.between(0, rows.count()).all() and model.coverage > 0
+    constant = np.expm1(np.log1p(both.card).mean())
+    assert models.q_errors(both.card, both.estimate).mean() < models.q_errors(both.card, np.full(len(both), constant)).mean()
+    with pytest.raises(ValueError, match="needs the strings"):
+        models.evaluate("patterns", truth, 1)
+
+
+def test_distances_in_sql(spark):
+    from substrata.functions import sql
+
+    sql.register(spark)
+    for q, s in (("abc", "xxabxcxx"), ("", "a"), ("ab", ""), ("né😀", "ne😀"), ("aaaa", "bbbb"), ("kitten", "sitting on")):
+        found = spark.sql("SELECT sed(:q, :s) AS d, sed_within(:q, :s, 1) AS near", {"q": q, "s": s}).first()
+        assert (found.d, found.near) == (kernels.sed(q, s), kernels.sed(q, s) <= 1)
+    assert spark.sql("SELECT sed(NULL, 'a') AS d").first().d is None
+
+
+@pytest.mark.parametrize("q,s", [("abcdef", "xxabcdefx"), ("abcdef", "abxdef"), ("aabbcc", "ccbbaa"), ("abcdefg", ""), ("ab", "ba")])
+def test_gram_bound_is_no_more_than_the_distance(spark, q, s):
+    from substrata.functions import text
+
+    found = spark.createDataFrame([(q, s)], "q string, s string").select(*[text.gram_bound("q", "s", n).alias(f"g{n}") for n in (1, 2, 3)]).first()
+    assert max(found) <= kernels.sed(q, s)
+
+
+def test_live_cells_count_their_work():
+    """Shared and pruned rows: no more lines than without, and cells only where they can lead to something."""
+    q, s, w = ["abcd", "abce", "zzzz"], ["xxabcdxx", "qqqqqqqq"], np.array([1, 2])
+    sums = {name: np.zeros(2, np.int64) for name in ("all", "pruned", "live")}
+    a = kernels.shared_prefix(q, s, w, 1, prune=False, work=sums["all"])
+    b = kernels.shared_prefix(q, s, w, 1, work=sums["pruned"])
+    c = kernels.live_cells(q, s, w, 1, work=sums["live"])
+    assert (a == b).all() and (a == c).all()
+    assert sums["all"][0] > sums["pruned"][0] == sums["live"][0] and sums["live"][1] < sums["pruned"][1]
+
+
 def test_estimate_command(spark, data, tmp_path):
     from substrata.__main__ import main
     from substrata.sources import experiments, files
