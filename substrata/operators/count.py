@@ -20,6 +20,8 @@ from substrata.plans import kernels
 
 #: Queries go to every task as a block of this many characters at most; more of them are joined ("partition").
 MOST_QUERY_CHARS = 8_000_000
+#: Within one edit, more queries than so many are looked up in the strings' pieces: a block's work grows with their number.
+MOST_BLOCK_QUERIES = 256
 GRAM = 2
 
 
@@ -149,16 +151,18 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
     "sorted_pruned": _by_kernel("sorted_pruned"),
     "trie": _by_kernel("trie"),
     "block": _by_kernel("block"),
+    "pieces": _by_kernel("pieces"),
 }
 
 
 def histogram(queries: DataFrame, strings: DataFrame, delta: int, strategy: str = "auto", spread: bool = True) -> DataFrame:
-    """(q, d, n) from distinct (q) and weighted (s, w). auto: "block" if the queries fit a block, else "partition".
+    """(q, d, n) from distinct (q) and weighted (s, w). auto: "block" if the queries fit a block, or "pieces" if they are many and delta is 1 at most, else "partition".
 
     spread: deal the strings of a kernel strategy out evenly first.
     """
     if strategy == "auto":
-        strategy = "block" if block_of(queries) else "partition"
+        many = delta <= 1 and queries.limit(MOST_BLOCK_QUERIES + 1).count() > MOST_BLOCK_QUERIES
+        strategy = "partition" if not block_of(queries) else "pieces" if many else "block"
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(['auto', *STRATEGIES])}")
     return STRATEGIES[strategy](queries, strings, delta, spread) if strategy in kernels.KERNELS else STRATEGIES[strategy](queries, strings, delta)

@@ -6,6 +6,8 @@ query and distance 0..delta, the weight of the strings at that distance.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -267,8 +269,206 @@ def live_cells(queries: list[str], strings: list[str], weights: np.ndarray, delt
     return out
 
 
+#: In a pattern, any one character. Queries that hold it go through the block kernel.
+_GAP = "\uffff"
+#: Between texts that are walked together.
+_APART = "\ufffe"
+#: Bytes of the matrix of lines by queries that is filled at a time.
+MARKS = 1 << 20
+#: Pieces and pairs of pieces that are remembered at a time, and strings and characters of them that are learnt from at a time.
+REMEMBERED, STRINGS, CHARACTERS = 600_000, 4096, 1 << 18
+#: Entries of the patterns' tree; queries that make more go through the block kernel.
+ENTRIES = 1 << 26
+
+
+class Pieces:
+    """Queries of 1 to WORD characters within `delta` <= 1 edits, looked up in the pieces of strings.
+
+    A piece is a run of characters that queries have. A string within one edit
+    of a query holds the query without one of its characters, or with a gap of
+    any one character in place of an inner one or between two. So only a gap
+    can be a character that no query has, and each match is in a piece or
+    spans two that stand one character apart. What a piece or a pair holds is
+    found once, by walks in the tree of these patterns, and remembered.
+    """
+
+    def __init__(self, queries: tuple[str, ...], delta: int):
+        self.width, patterns = len(queries), {}
+        for k, q in enumerate(queries):  # marks: k if the query is within one edit, width + k if it's there itself
+            patterns.setdefault(q, set()).add(self.width + k)
+            if delta and len(q) > 1:
+                near = [q[:i] + q[i + 1 :] for i in range(len(q))] + [q[:i] + _GAP + q[i + 1 :] for i in range(1, len(q) - 1)] + [q[:i] + _GAP + q[i:] for i in range(2, len(q) - 1)]
+                for pattern in near:
+                    patterns.setdefault(pattern, set()).add(k)
+        alphabet = "".join(sorted({x for q in queries for x in q}))
+        self.split = re.compile(f"[^{re.escape(alphabet)}]").split
+        gaps = [x.split(_GAP) for x in patterns if _GAP in x]
+        self.lefts, self.rights = {a for a, _ in gaps}, {b[:i] for _, b in gaps for i in range(1, len(b) + 1)}
+        self.longest = max(map(len, patterns))
+        nodes = {x: k for k, x in enumerate(sorted({x[:i] for x in patterns for i in range(len(x) + 1)}))}  # "" is 0, the root
+        self.fits = len(nodes) * (len(alphabet) + 2) <= ENTRIES
+        if not self.fits:
+            return
+        #: 0: between texts, 1: in no query
+        self.kinds = np.ones(0x110000, np.int32)
+        self.kinds[[ord(x) for x in alphabet]] = np.arange(2, len(alphabet) + 2)
+        self.kinds[ord(_APART)] = 0
+        self.next, self.gap = np.zeros((len(nodes), len(alphabet) + 2), np.int32), np.zeros(len(nodes), np.int32)
+        kind = dict(zip(alphabet, range(2, len(alphabet) + 2), strict=True))
+        for x, k in nodes.items():
+            if x.endswith(_GAP):
+                self.gap[nodes[x[:-1]]] = k
+            elif x:
+                self.next[nodes[x[:-1]], kind[x[-1]]] = k
+        marks = [np.array(sorted(patterns.get(x, ())), np.int32) for x in nodes]
+        self.sizes = np.array([len(m) for m in marks])
+        self.marks, self.from_ = np.concatenate(marks), np.cumsum(self.sizes) - self.sizes
+        self.forget()
+
+    def forget(self) -> None:
+        #: piece -> its number in `held`; by number, its end that a gap can follow and its start that can follow a gap
+        self.pieces, self.held = {"": 0}, [np.zeros(0, np.int32)]
+        self.tail = self.head = np.zeros(1, np.int64)
+        self.tails, self.heads = {"": 0}, {"": 0}
+        #: end and start -> number, or -1 if the pair holds none
+        self.pairs: dict[int, int] = {}
+
+    def walk(self, texts: list[str], pairs: bool) -> Iterator[np.ndarray]:
+        """The marks of each text: from each character, along the tree as far as it goes. pairs: of a pair, those that span its gap."""
+        whole = encode([_APART.join([*texts, _APART * 2])])[0]
+        kinds = self.kinds[whole]
+        owner = np.cumsum(whole == ord(_APART))
+        at = np.flatnonzero(kinds > 1)
+        if pairs:
+            middle = np.flatnonzero(kinds == 1)
+            at = at[at < middle[owner[at]]]
+        node, found, nodes = self.next[0, kinds[at]], [], []
+        while len(at):
+            at, node = at[node > 0], node[node > 0]
+            some = self.sizes[node] > 0
+            if pairs:
+                some &= at > middle[owner[at]]
+            found.append(owner[at[some]])
+            nodes.append(node[some])
+            at = at + 1
+            kind, gap = kinds[at], self.gap[node]
+            jump = (gap > 0) & (kind == 1 if pairs else kind > 1)
+            at, node = np.concatenate([at, at[jump]]), np.concatenate([self.next[node, kind], gap[jump]])
+        found, nodes = np.concatenate([np.zeros(0, int), *found]), np.concatenate([np.zeros(0, int), *nodes])
+        sizes = self.sizes[nodes]
+        ends = np.cumsum(sizes)
+        marks = self.marks[np.repeat(self.from_[nodes] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        keys = np.sort(np.repeat(found, sizes) * (2 * self.width) + marks)
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        edges = np.searchsorted(keys, np.arange(len(texts) + 1) * (2 * self.width)).tolist()
+        marks = (keys % (2 * self.width)).astype(np.int32)
+        return (marks[a:b] for a, b in zip(edges, edges[1:], strict=False))
+
+    def learn(self, texts: list[str], pairs: bool) -> None:
+        at, size = 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if size > CHARACTERS or k == len(texts):
+                self.held += self.walk(texts[at:k], pairs)
+                at, size = k, 0
+
+    def _ends(self, text: str) -> tuple[int, int]:
+        """Numbers of the longest end that is a pattern's part before a gap and of the longest start that goes on behind one."""
+        tail = next((x for n in range(min(len(text), self.longest), 0, -1) if (x := text[-n:]) in self.lefts), "")
+        n = 0
+        while n < len(text) and text[: n + 1] in self.rights:
+            n += 1
+        return self.tails.setdefault(tail, len(self.tails)), self.heads.setdefault(text[:n], len(self.heads))
+
+    def numbers(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of what the strings hold, and where each string's start, and the end."""
+        runs = [self.split(s) for s in strings]
+        texts = [x for run in runs for x in run]
+        line = np.repeat(np.arange(len(runs)), [len(run) for run in runs])
+        new = list(set(texts) - self.pieces.keys())
+        self.pieces.update(zip(new, range(len(self.held), len(self.held) + len(new)), strict=True))
+        ends = np.array([self._ends(x) for x in new], np.int64).reshape(-1, 2)
+        self.learn(new, False)
+        # pairs may have numbers in between, so both are as long as `held`
+        self.tail, self.head = (np.concatenate([x, np.zeros(len(self.held) - len(new) - len(x), np.int64), ends[:, k]]) for k, x in enumerate((self.tail, self.head)))
+        number = np.fromiter(map(self.pieces.__getitem__, texts), np.int64, len(texts))
+        tail, head = self.tail[number[:-1]], self.head[number[1:]]
+        two = np.flatnonzero((tail > 0) & (head > 0) & (line[:-1] == line[1:]))
+        keys, which = np.unique((tail[two] << 32) + head[two], return_inverse=True)
+        keys = keys.tolist()
+        new = [k for k in keys if k not in self.pairs]
+        before, after, n = list(self.tails), list(self.heads), len(self.held)
+        self.learn([before[k >> 32] + _GAP + after[k & 0xFFFFFFFF] for k in new], True)
+        self.pairs.update((k, m if len(self.held[m]) else -1) for m, k in enumerate(new, n))
+        found = np.array([self.pairs[k] for k in keys], np.int64)[which]
+        some = found >= 0
+        size = len(self.held)
+        own = np.sort(np.concatenate([line * size + number, line[two[some]] * size + found[some]]))
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        return own % size, np.searchsorted(own, np.arange(len(runs) + 1) * size)
+
+    def counts(self, strings: list[str], weights: np.ndarray) -> np.ndarray:
+        """By mark, the weight of the strings that have it."""
+        width = 2 * self.width
+        total, step = np.zeros(width, np.int64), max(1, min(255, MARKS // width))
+        for first in range(0, len(strings), STRINGS):
+            if len(self.held) > REMEMBERED:
+                self.forget()
+            numbers, starts = self.numbers(strings[first : first + STRINGS])
+            for at in range(0, len(starts) - 1, step):
+                own = starts[at : at + step + 1]
+                held = [self.held[k] for k in numbers[own[0] : own[-1]].tolist()]
+                rows = np.repeat(np.arange(len(own) - 1) * width, np.diff(own))
+                has = np.zeros((len(own) - 1, width), np.uint8)
+                has.ravel()[np.repeat(rows, np.fromiter(map(len, held), np.int64, len(held))) + np.concatenate(held)] = 1
+                total += has.sum(0, dtype=np.uint8)  # of 255 strings at most
+                w = weights[first + at : first + at + len(has)]
+                more = np.flatnonzero(w != 1)
+                if len(more):
+                    total += (w[more] - 1) @ has[more]
+        return total
+
+
+@functools.lru_cache(maxsize=1)
+def _pieces(queries: tuple[str, ...], delta: int) -> Pieces:
+    return Pieces(queries, delta)
+
+
+def pieces(queries: list[str], strings: list[str], weights: np.ndarray, delta: int) -> np.ndarray:
+    """The same histogram for delta 0 and 1 by looking up what the pieces of the strings hold, whatever the number of queries.
+
+    Larger deltas, queries with the two characters that patterns use and those
+    whose patterns are too many go through the block kernel. Of queries over WORD characters, only the strings that hold one of
+    delta + 1 parts of them are verified.
+    """
+    if delta > 1 or any(_GAP in q or _APART in q for q in queries):
+        return bit_parallel(queries, strings, weights, delta)
+    out, weights = np.zeros((len(queries), delta + 1), np.int64), np.asarray(weights)
+    if not strings:
+        return out
+    some = [k for k, q in enumerate(queries) if 0 < len(q) <= WORD]
+    if some and not _pieces(tuple(queries[k] for k in some), delta).fits:
+        return bit_parallel(queries, strings, weights, delta)
+    if some:
+        found = _pieces(tuple(queries[k] for k in some), delta).counts(strings, weights).reshape(2, -1)
+        out[some, 0] = found[1]
+        if delta:
+            near = np.where([len(queries[k]) == 1 for k in some], weights.sum(), found[0])
+            out[some, 1] = near - found[1]
+    for k, q in enumerate(queries):
+        if not q:
+            out[k, 0] = weights.sum()
+        elif len(q) > WORD:
+            half = len(q) // 2 if delta else len(q)
+            for s, w in zip(strings, weights, strict=True):
+                if (q[:half] in s or delta and q[half:] in s) and (d := sed(q, s)) <= delta:
+                    out[k, d] += w
+    return out
+
+
 KERNELS = {
     "block": bit_parallel,
+    "pieces": pieces,
     "trie": live_cells,
     "interval": lambda q, s, w, d: live_cells(q, s, w, d, share=False),
     "sorted": lambda q, s, w, d: shared_prefix(q, s, w, d, prune=False),

@@ -92,6 +92,28 @@ def test_count_docs_query_takes_words_of_any_length(spark, tmp_path):
     assert found == truth(["a", "the", long, "x" * 70], [x for t in texts if t for x in t.split("\n")], 1)
 
 
+def test_pieces_equal_the_block_kernel():
+    r = random.Random(11)
+    for delta, alphabet in ((0, "abc"), (1, "abc"), (1, "ab-é😀]^"), (2, "ab")):
+        queries = sorted({"".join(r.choice(alphabet[:3]) for _ in range(r.randint(0, 7))) for _ in range(120)} | {"ab" * 33, "a" * 64})
+        strings = ["".join(r.choice(alphabet + "X -") for _ in range(r.choice([0, 1, 3, 12, 40]))) for _ in range(300)] + ["ab" * 16 + "x" + "ab" * 17, "a" * 63, "a" * 65]
+        weights = np.array([r.choice([1, 1, 3, 300]) for _ in strings])
+        assert (kernels.pieces(queries, strings, weights, delta) == kernels.bit_parallel(queries, strings, weights, delta)).all()
+
+
+def test_many_queries_are_not_compared_with_every_line(spark, monkeypatch):
+    """The work of a long list of words is that of the strings' pieces, not of words times characters."""
+    r = random.Random(12)
+    words = sorted({"".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(1500)})
+    lines = [" ".join(r.choice(words) for _ in range(12)) for _ in range(200)]
+    monkeypatch.setitem(kernels.KERNELS, "block", None)
+    monkeypatch.delitem(count.STRATEGIES, "block")
+    q, s = (spark.createDataFrame([(x,) for x in rows], f"{name} string") for rows, name in ((words, "q"), (lines, "s")))
+    found = {(x.word, x.delta): x.card for x in count.approx_substring_count(q, s, 1).collect()}
+    some = words[::30]
+    assert {k: n for k, n in found.items() if k[0] in some} == truth(some, lines, 1)
+
+
 def test_empty_database_and_unknown_strategy(spark):
     s, q = spark.createDataFrame([], "s string"), spark.createDataFrame([("ab",)], "q string")
     assert [r.card for r in count.approx_substring_count(q, s, 1).collect()] == [0, 0]
