@@ -545,6 +545,37 @@ def test_join_rows_of_a_group_grow_with_its_members(spark):
     assert made == [0, 0]
 
 
+def test_join_finds_the_pairs_that_bands_miss(spark, monkeypatch):
+    """Short texts of 10 words each, in pairs at exactly 0.8, and a group of them around a common passage; with one band, most pairs share no bucket."""
+    r, rows = random.Random(4), []
+    for k in range(150):
+        w = [f"p{k}x{j}" for j in range(13)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "end"]))]
+    common = [f"c{j}" for j in range(12)]
+    rows += [(1000 + k, " ".join([*common, *(f"own{k}y{j}" for j in range(r.randrange(30)))])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "bands_for", lambda *_: (1, 4))
+    plain = plain_join(rows)
+    for few in (32, 1):  # the second: n-grams one by one
+        monkeypatch.setattr(ngram_join, "PREFIX_FEW", few)
+        assert {x.doc_id: (x.class_id, x.n_all_links) for x in ngram_join.similar(df, count_links=True).collect()} == plain
+        assert {x.doc_id: (x.class_id, x.text_id, x.n_copies, x.similarity, x.n_links) for x in ngram_join.similar(df).collect()} == stated(rows)
+    assert ngram_join.keep_one(df).count() == len({c for c, _ in plain.values()})
+
+
+def test_join_has_the_words_of_its_sql(spark, tmp_path):
+    """Blanks beyond ASCII and the vertical tab are no white space there, and letters are lower-cased one by one."""
+    import duckdb
+
+    long = " ".join(f"w{k}" for k in range(12))
+    texts = ["a\u00a0b c", "a b c", "a\vb d", "A\vB D", "\u1d6c\u2003x", "ΟΔΟΣ one", "οδοσ one", "οδος one", "\u0130 two", "i two", "i\u0307 two", "x\x1cy\t\f z", "X\x1cY Z", "\u00a0", "\v", long + " \u00a0", long]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = [tuple(x) for x in ngram_join.op9_ngram_join(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(base.execute(ngram_join.ORACLE).fetchall())
+
+
 def test_join_odd_cases(spark):
     df, rows = odd_documents(spark, extra=True)
     out = ngram_join.similar(df).collect()
