@@ -563,6 +563,66 @@ def test_join_finds_the_pairs_that_bands_miss(spark, monkeypatch):
     assert ngram_join.keep_one(df).count() == len({c for c, _ in plain.values()})
 
 
+def rows_made(spark, monkeypatch, run):
+    """Rows that all steps in Python return while run() is under way."""
+    made, frame = spark.sparkContext.accumulator(0), type(spark.range(1))
+
+    def counted(self, part, *more, plain=frame.mapInArrow, **named):
+        def watched(batches):
+            for batch in part(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(self, watched, *more, **named)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(frame, "mapInArrow", counted)
+        run()
+    return made.value
+
+
+def group_with_outsiders(n):
+    """Near copies of one text, a quarter of which are edited too far to be linked with it."""
+    r, base, rows = random.Random(5), prose(80, 120, 10**6).split(), []
+    for k in range(n):
+        w = list(base)
+        for j in r.sample(range(120), r.choice([3, 4]) if k % 4 == 0 else 1):
+            w[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_join_makes_no_row_a_pair(spark, monkeypatch):
+    """Four times the members of a group, some in its class and some not, make about four times the rows, not six."""
+    frames = [spark.createDataFrame(group_with_outsiders(n), "doc_id long, text string").repartition(4) for n in (100, 400)]
+    few, many = (rows_made(spark, monkeypatch, lambda df=df: ngram_join.similar(df).collect()) for df in frames)
+    assert many < 5 * few
+
+
+def test_join_by_prefixes_alone(spark, monkeypatch):
+    """Where no two texts share a bucket, prefixes find all links, in cells of any size."""
+    monkeypatch.setattr(ngram_join, "band_hashes", lambda grams, bands, rows: grams[:1].view(np.int64) ^ hash(grams.tobytes()) if len(grams) else np.zeros(0, np.int64))
+    rows = near_copies(90) + [(1000 + k, t) for k, t in group_with_outsiders(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {x.doc_id: (x.class_id, x.text_id, x.n_copies, x.similarity, x.n_links) for block in (256, 8) for x in ngram_join.similar(df, block=block).collect()}
+    assert found == stated(rows)
+    assert {x.doc_id: (x.class_id, x.n_all_links) for x in ngram_join.similar(df, block=8, count_links=True).collect()} == plain_join(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_first_grams_in_play(threshold):
+    """All that a pair of different labels can take are kept; those that it takes are few, so some are dropped."""
+    rng = np.random.default_rng(3)
+    gram, label, n = np.sort(rng.integers(0, 40, 400)), rng.integers(0, 60, 400), rng.integers(1, 90, 400)
+    n, at = n[np.lexsort((n, gram))], rng.integers(0, 30, 400)
+    kept = ngram_join.in_play(gram, label, n, at, threshold)
+    taken = np.zeros(400, bool)
+    for x, y in itertools.permutations(range(400), 2):
+        need, k = ngram_join._needed(n[x : x + 1], n[y : y + 1], threshold)
+        taken[x] |= gram[x] == gram[y] and label[x] != label[y] and min(n[x], n[y]) >= need[0] and min(n[x] - at[x], n[y] - at[y]) > need[0] - k[0]
+    assert taken.any() and kept[taken].all() and not kept.all()
+
+
 def test_join_has_the_words_of_its_sql(spark, tmp_path):
     """Blanks beyond ASCII and the vertical tab are no white space there, and letters are lower-cased one by one."""
     import duckdb
