@@ -599,6 +599,14 @@ def test_join_makes_no_row_a_pair(spark, monkeypatch):
     assert many < 5 * few
 
 
+def test_near_duplicate_stage_makes_no_row_a_pair(spark, data, monkeypatch):
+    import corpus_pipeline
+
+    frames = [spark.createDataFrame(group_with_outsiders(n), "doc_id long, text string").repartition(4) for n in (100, 400)]
+    few, many = (rows_made(spark, monkeypatch, lambda df=df: corpus_pipeline.near_duplicate_stage(spark, df, data).collect()) for df in frames)
+    assert many < 5 * few, (few, many)
+
+
 def test_join_by_prefixes_alone(spark, monkeypatch):
     """Where no two texts share a bucket, prefixes find all links, in cells of any size."""
     monkeypatch.setattr(ngram_join, "band_hashes", lambda grams, bands, rows: grams[:1].view(np.int64) ^ hash(grams.tobytes()) if len(grams) else np.zeros(0, np.int64))
