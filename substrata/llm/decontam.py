@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from substrata.llm.common import cut, table, union_all
+from substrata.llm.common import cut, in_arrow, table, union_all
 
 WINDOW_WORDS = 10
 #: An automaton goes to every task: items of more words than this in all get several, each scanned with by itself.
@@ -271,7 +271,7 @@ def _scanned(rows: DataFrame, automata: Iterator[Automaton]) -> DataFrame:
                 found = [(len(run), *automaton.scan(run)) for run in runs]
                 yield _report(batch, ["key"], [(n, spans, sorted({automaton.names[k] for k in hit})) for n, spans, hit in found])
 
-        return rows.mapInArrow(part, f"key {kind}, {_FOUND}")
+        return in_arrow(rows, part, f"key {kind}, {_FOUND}")
     rows, kept = cut(rows.withColumn("row", F.monotonically_increasing_id())), []
     for automaton in itertools.chain((first, second), automata):
         one = context.broadcast(automaton)
@@ -282,7 +282,7 @@ def _scanned(rows: DataFrame, automata: Iterator[Automaton]) -> DataFrame:
                 found = [(k, spans, sorted({one.value.names[i] for i in hit})) for k, spans, hit in found if hit]
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array([k for k, _, _ in found], pa.int64())), pa.array([[list(s) for s in spans] for _, spans, _ in found], pa.list_(pa.list_(pa.int64()))), pa.array([names for _, _, names in found], pa.list_(pa.string()))], ["row", "spans", "names"])
 
-        kept.append(cut(rows.select("row", "text").mapInArrow(hits, "row bigint, spans array<array<bigint>>, names array<string>")))
+        kept.append(cut(in_arrow(rows.select("row", "text"), hits, "row bigint, spans array<array<bigint>>, names array<string>")))
         one.destroy()
     found = union_all(kept).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
 
@@ -291,7 +291,7 @@ def _scanned(rows: DataFrame, automata: Iterator[Automaton]) -> DataFrame:
             columns = (batch.column(c).to_pylist() for c in ("text", "spans", "names"))
             yield _report(batch, ["key"], [(len(words(t)), merged(s or []), sorted(n or [])) for t, s, n in zip(*columns, strict=True)])
 
-    return rows.join(found, "row", "left").select("key", "text", "spans", "names").mapInArrow(together, f"key {kind}, {_FOUND}")
+    return in_arrow(rows.join(found, "row", "left").select("key", "text", "spans", "names"), together, f"key {kind}, {_FOUND}")
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -348,7 +348,7 @@ def _cleaned(docs: DataFrame, automaton: Automaton, place: int, max_coverage: fl
             arrays = [pa.array(texts, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(part, docs.schema)
+    return in_arrow(docs, part, docs.schema)
 
 
 def _cleaned_by_several(docs: DataFrame, automata: list[Automaton], text_col: str, max_coverage: float) -> DataFrame:
@@ -369,7 +369,7 @@ def _cleaned_by_several(docs: DataFrame, automata: list[Automaton], text_col: st
         hit = found.where("n_hit > 0").select("key.key", "key.text", "spans")
         if not hit.limit(1).count():
             break
-        rows, limit = cut(hit.mapInArrow(without, f"key {dict(hit.dtypes)['key']}, text string")), 1.0
+        rows, limit = cut(in_arrow(hit, without, f"key {dict(hit.dtypes)['key']}, text string")), 1.0
     out = union_all(done)
     return out.select(*[F.col("text").cast(kind).alias(c) if c == text_col else x for c, x in zip(docs.columns, columns, strict=True)])
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from substrata.llm.common import table
+from substrata.llm.common import in_arrow, table
 
 #: The model is fitted to so many labelled documents at most, those of the smallest MD5 of their id, and of so many lines each:
 #: what the driver fetches is below 4,000 x 400 x 14 numbers. Of longer documents a run of so many lines is taken, drawn by a hash of the text.
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), batch.column("label").slice(k, 1), pa.array([x.ravel().tolist()], pa.list_(pa.float64())), pa.array([length.tolist()], pa.list_(pa.float64()))], ["id", "label", "x", "length"])
 
     kind = dict(texts.dtypes)["id"]
-    rows = texts.mapInArrow(part, f"id {kind}, label int, x array<double>, length array<double>").toArrow()
+    rows = in_arrow(texts, part, f"id {kind}, label int, x array<double>, length array<double>").toArrow()
     rows = rows.sort_by([("id", "ascending")])  # the fit doesn't depend on the order in which tasks end
     x, length = (np.concatenate([np.zeros(0), *(chunk.flatten().to_numpy() for chunk in rows.column(c).chunks)]) for c in ("x", "length"))
     document = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("length")).to_numpy()) if rows.num_rows else np.zeros(0, int)
@@ -247,7 +247,7 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(remainder(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(part, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return in_arrow(rows, part, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -259,7 +259,7 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshol
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(place).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(part, docs.schema)
+    return in_arrow(docs, part, docs.schema)
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

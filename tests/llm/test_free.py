@@ -607,6 +607,36 @@ def test_near_duplicate_stage_makes_no_row_a_pair(spark, data, monkeypatch):
     assert many < 5 * few, (few, many)
 
 
+def idle_memory(spark):
+    """MB that the Python workers keep of what they have freed, at most; afterwards they keep none."""
+
+    def part(batches):
+        import ctypes
+
+        held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1])  # noqa: E731, SIM115
+        for _ in batches:
+            time.sleep(0.05)  # so that all workers get tasks
+            before = held()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+            yield pa.RecordBatch.from_arrays([pa.array([(before - held()) // 1024], pa.int64())], ["mb"])
+
+    return spark.range(0, 32, 1, 32).mapInArrow(part, "mb bigint").agg(F.max("mb")).first()[0]
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "decontamination"])
+def test_stages_leave_no_memory_in_workers(spark, data, stage):
+    """Workers stay for later stages, and each executor's memory has to hold several of them."""
+    import corpus_pipeline
+
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat_ws(" ", F.lit("Some words of a line"), F.md5(F.concat_ws(" ", "doc_id", k)), F.lit("and its end"))))
+    docs = spark.range(24_000).withColumnRenamed("id", "doc_id").repartition(4).select("doc_id", text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    idle_memory(spark)
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, data).write.format("noop").mode("overwrite").save()
+    kept = idle_memory(spark)
+    assert kept < 40  # the last batch goes after the release
+
+
 def test_join_by_prefixes_alone(spark, monkeypatch):
     """Where no two texts share a bucket, prefixes find all links, in cells of any size."""
     monkeypatch.setattr(ngram_join, "band_hashes", lambda grams, bands, rows: grams[:1].view(np.int64) ^ hash(grams.tobytes()) if len(grams) else np.zeros(0, np.int64))
