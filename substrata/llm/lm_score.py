@@ -125,11 +125,16 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     return Vocabulary(Codes(zip(names, range(len(names)), strict=True)), np.log(n / counts[classes]), counts, classes, words, len(levels) == 0 or len(names) == types[-1])
 
 
-_SHAPES = {"embed": (_CLASSES + 1, EMBEDDING), "w1": (2 * SIDE * EMBEDDING, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, HIDDEN, MEMBERS), "bm": (GROUPS, MEMBERS)}
+_SHAPES = {"embed": (_CLASSES + 1, EMBEDDING), "w1": (2 * SIDE * EMBEDDING, HIDDEN), "b1": (HIDDEN,), "groups": (HIDDEN + 1, GROUPS), "members": (GROUPS, HIDDEN + 1, MEMBERS)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+_PAIRS = np.arange(EMBEDDING // 2)
+_STARTS = np.arange(GROUPS + 1, dtype=np.int16) * np.int16(MEMBERS)
 
 
 class Network:
+    """Weights as parts of one array. The last row of `groups`, and of each group's `members`, is the bias: the hidden units have a constant 1 after them."""
+
     def __init__(self, flat: np.ndarray):
         self.flat = flat.astype(np.float32)
         at = 0
@@ -137,6 +142,9 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
+        self.wg, self.bg = self.groups[:HIDDEN], self.groups[HIDDEN]
+        self.wm, self.bm = self.members[:, :HIDDEN], self.members[:, HIDDEN]
+        self.slope: Network | None = None
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
@@ -151,67 +159,68 @@ class Network:
         return out
 
     def hidden(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        around = np.stack([codes[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
+        around = codes.take(at[:, None] + _AROUND)
         joined = self.embed.take(around, axis=0).reshape(len(at), -1)
-        h = joined @ self.w1
-        h += self.b1
-        return around, joined, np.tanh(h, out=h)
-
-    def members(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows by group, where each group ends in that order, and in that order the logits of the group's members and h."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
-        sorted_h, logits = h[order], self.bm[group[order]]
-        for g in range(GROUPS):
-            if ends[g] < ends[g + 1]:
-                logits[ends[g] : ends[g + 1]] += sorted_h[ends[g] : ends[g + 1]] @ self.wm[g]
-        return order, ends, logits, sorted_h
+        h = np.empty((len(at), HIDDEN + 1), np.float32)
+        h[:, HIDDEN] = 1
+        x = np.dot(joined, self.w1)
+        x += self.b1
+        _tanh(x, h[:, :HIDDEN])
+        return around, joined, h
+
+    def member_logits(self, h: np.ndarray, ends: list[int]) -> np.ndarray:
+        """Of rows by group, the logits of the group's members."""
+        out = np.empty((len(h), MEMBERS), np.float32)
+        for weights, a, b in zip(self.members, ends[:-1], ends[1:], strict=True):
+            if a < b:
+                np.dot(h[a:b], weights, out[a:b])
+        return out
 
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the classes at these places, each given its neighbours."""
-        _, _, h = self.hidden(codes, at)
-        group, member = np.divmod(codes[at], MEMBERS)
-        logits = h @ self.wg
-        logits += self.bg
-        out = logits[np.arange(len(at)), group] - _log_total(logits)
-        order, ends, logits, _ = self.members(h, group)
-        out[order] += logits[np.arange(len(at)), member[order]] - _log_total(logits)
+        order, group, member, ends = _by_group(codes, at)
+        _, _, h = self.hidden(codes, at[order])
+        logits = np.dot(h, self.groups)
+        found = logits.ravel()[group] - _log_total(logits)
+        logits = self.member_logits(h, ends)
+        found += logits.ravel()[member] - _log_total(logits)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def train(self, codes: np.ndarray, at: np.ndarray, memory: np.ndarray, rate: float = RATE) -> None:
         """One step of Adagrad on the mean loss at these places."""
-        slope = np.zeros_like(self.flat)
-        s = Network.__new__(Network)
-        Network.__init__(s, slope)
+        if self.slope is None:
+            self.slope = Network(np.zeros(_SIZE))
+        s = self.slope
         n = np.float32(len(at))
-        around, joined, h = self.hidden(codes, at)
-        group, member = np.divmod(codes[at], MEMBERS)
-        p = h @ self.wg
-        p += self.bg
-        p = _softmax(p)
-        p[np.arange(len(at)), group] -= 1
+        order, group, member, ends = _by_group(codes, at)
+        around, joined, h = self.hidden(codes, at[order])
+        p = _softmax(np.dot(h, self.groups))
+        p.ravel()[group] -= 1
         p /= n
-        s.wg[:], s.bg[:] = h.T @ p, p.sum(0)
-        back = p @ self.wg.T
-        order, ends, logits, sorted_h = self.members(h, group)
-        p = _softmax(logits)
-        p[np.arange(len(at)), member[order]] -= 1
+        np.dot(h.T, p, s.groups)
+        back = np.dot(p, self.wg.T)
+        p = _softmax(self.member_logits(h, ends))
+        p.ravel()[member] -= 1
         p /= n
-        more = np.empty_like(sorted_h)
-        for g in range(GROUPS):
-            rows = slice(ends[g], ends[g + 1])
-            if ends[g] < ends[g + 1]:
-                np.matmul(sorted_h[rows].T, p[rows], out=s.wm[g])
-                np.matmul(p[rows], self.wm[g].T, out=more[rows])
-        some = [g for g in range(GROUPS) if ends[g] < ends[g + 1]]
-        s.bm[some] = np.add.reduceat(p, [ends[g] for g in some])
-        back[order] += more
-        back *= 1 - h * h
-        s.w1[:], s.b1[:] = joined.T @ back, back.sum(0)
-        parts = (back @ self.w1.T).reshape(-1, EMBEDDING)
-        flat = around.ravel()
-        for k in range(EMBEDDING):
-            s.embed[:, k] = np.bincount(flat, parts[:, k], _CLASSES + 1)
+        more, turned = np.empty_like(back), h.T
+        for weights, slope, a, b in zip(self.wm, s.members, ends[:-1], ends[1:], strict=True):
+            if a < b:
+                rows = p[a:b]
+                np.dot(turned[:, a:b], rows, slope)
+                np.dot(rows, weights.T, more[a:b])
+            else:
+                slope[:] = 0
+        back += more
+        units = h[:, :HIDDEN]
+        back *= 1 - units * units
+        np.dot(joined.T, back, s.w1)
+        back.sum(0, out=s.b1)
+        parts = np.dot(back, self.w1.T)
+        s.embed[:] = 0
+        # added up in pairs of numbers, as complex ones, which takes half the steps
+        np.add.at(s.embed.ravel().view(np.complex64), (around.reshape(-1, 1) * np.intp(len(_PAIRS)) + _PAIRS).ravel(), parts.ravel().view(np.complex64))
         slope = s.flat
         root = slope * slope
         memory += root
@@ -222,20 +231,43 @@ class Network:
         self.flat -= slope
 
 
+def _by_group(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """An order of the places by their classes' groups; in it, where each one's group and member are among the logits, row after row, and where each group ends."""
+    found = codes.take(at)
+    order = np.argsort(found, kind="stable")
+    found = found[order]
+    group = found // MEMBERS
+    return order, np.arange(0, len(at) * GROUPS, GROUPS) + group, np.arange(0, len(at) * MEMBERS, MEMBERS) + (found - group * MEMBERS), np.searchsorted(found, _STARTS).tolist()
+
+
 _ONES = {n: np.ones(n, np.float32) for n in (GROUPS, MEMBERS)}
 
 
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """In place of the logits. They are of moderate size (tanh times weights), so no maximum is taken off; the limit only guards."""
+    if logits.max(initial=0) > 60:
+        np.minimum(logits, 60, out=logits)
+    return np.exp(logits, out=logits)
+
+
+def _tanh(x: np.ndarray, out: np.ndarray) -> None:
+    """By exp, which takes numpy less time than its tanh; x is used up."""
+    x *= 2
+    _exp(x)
+    x += 1
+    np.divide(-2, x, out=x)
+    np.add(x, 1, out=out)
+
+
 def _log_total(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exp by row; logits are used up. They are of moderate size (tanh times weights), so no maximum is taken off; the limits only guard."""
-    np.minimum(logits, 60, out=logits)
-    np.exp(logits, out=logits)
+    """log of the sum of exp by row; logits are used up."""
+    _exp(logits)
     return np.log(np.maximum(logits @ _ONES[logits.shape[1]], np.float32(1e-30)))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """In place of the logits."""
-    np.minimum(logits, 60, out=logits)
-    np.exp(logits, out=logits)
+    _exp(logits)
     logits *= (1 / np.maximum(logits @ _ONES[logits.shape[1]], np.float32(1e-30)))[:, None]
     return logits
 
@@ -257,10 +289,11 @@ def coded(docs: DataFrame, words: Vocabulary, *, id_col: str = "doc_id", text_co
                 found = np.fromiter(map(code, run), np.int32, len(run))
                 known = found >= 0
                 out = (-1 - found).astype(np.int16)
-                out[known] = classes[found[known]]
+                ranks = found[known]
+                out[known] = classes[ranks]
                 made.append(out.tobytes())
-                held.append(float(within[found[known]].sum()))
-                others.append([(w.decode("utf-8", "replace"), k) for w, k in Counter(run[i] for i in np.flatnonzero(~known)).items()])
+                held.append(float(within[ranks].sum()))
+                others.append([(w.decode("utf-8", "replace"), k) for w, k in Counter([run[i] for i in np.flatnonzero(~known).tolist()]).items()])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(made, pa.binary()), pa.array(held, pa.float64()), pa.array(others, pa.map_(pa.string(), pa.int64()))], ["row", "doc_id", "codes", "held", "others"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
